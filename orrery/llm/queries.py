@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orrery.llm import lookalikes, neardup
+from orrery.llm import boilerplate, dialogue, lookalikes, mixing, neardup, packing, tokens
 from orrery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +43,77 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate chunks: one row for each chunk of a group, with its number of links to other texts."""
     return neardup.similar_groups(table(spark, sf_dir, "chunks"), "chunk_id", "text", threshold=0.6, k=3).withColumnRenamed("key", "chunk_id")
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of every conversation that is whole."""
+    t = dialogue.conversations_in_order(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
+    return t.select("conversation_id", "turn", "message_id")
+
+
+@query
+def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns with speaker and likeliest parent."""
+    return dialogue.conversations_in_order(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
+
+
+def _boilerplate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return boilerplate.boilerplate(table(spark, sf_dir, "chunks"), "chunk_id", "text", "ticker")
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the lines that are repeated within a ticker."""
+    return _boilerplate(spark, sf_dir)[1].select(F.col("key").alias("chunk_id"), "line_no").distinct()
+
+
+@query
+def p4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated lines of each ticker with the texts they stand in and their block."""
+    return _boilerplate(spark, sf_dir)[0].withColumnRenamed("source", "ticker")
+
+
+@query
+def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk once, with its text without repeated lines."""
+    places = _boilerplate(spark, sf_dir)[1]
+    chunks = table(spark, sf_dir, "chunks", ["chunk_id", "text"])
+    return boilerplate.without_lines(chunks, "chunk_id", "text", places, "clean_text").groupBy("chunk_id").agg(F.first("clean_text").alias("clean_text"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    kinds = table(spark, sf_dir, "pack_sizes")
+    sizes = packing.sized(tokens.with_tokens(table(spark, sf_dir, "documents", ["doc_id", "text"]), "text"), "doc_id", "n_tokens")
+    return packing.pack(sizes, "doc_id", "n_tokens", kinds, "container_kind", "capacity_tokens"), kinds
+
+
+@query
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in the containers of each kind."""
+    return _packed(spark, sf_dir)[0].withColumnsRenamed({"kind": "container_kind", "key": "doc_id"})
+
+
+@query
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    return packing.fill_report(*_packed(spark, sf_dir), "container_kind", "capacity_tokens").withColumnRenamed("kind", "container_kind")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
+    targets = table(spark, sf_dir, "source_targets")
+    sized = tokens.with_tokens(docs, "text").withColumn("quality", mixing.text_quality(F.col("text"))).drop("text")
+    return mixing.mix(sized, targets, "doc_id", "source", "n_tokens", "quality")
+
+
+@query
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents selected to the sources' target shares, with the number of times each is used."""
+    return _mixed(spark, sf_dir)[0].withColumnRenamed("key", "doc_id")
+
+
+@query
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the selection reaches."""
+    return _mixed(spark, sf_dir)[1]
