@@ -27,11 +27,13 @@ from orrery.session import written
 
 #: Places of the table of document frequencies; rare shingles share places with others that are mostly rare, too.
 DF_SIZE = 1 << 17
-SAMPLES, PER_BAND, BANDS = 64, 4, 32
+SAMPLES, PER_BAND, BANDS = 64, 4, 48
 #: Least share of the samples on which a proposed pair must agree to be verified; for the weighted similarities of pairs at
 #: the threshold (0.55 and more here) it lies four standard deviations below.
 LEAST_AGREEMENT = 0.28
 BUCKET = 200
+#: Entries of a part of the buckets, and entries held at once where one part has more.
+PART_ENTRIES, HELD = 500_000, 4_000_000
 #: Rows of texts taken at a time.
 ROWS = 20_000
 #: Bits of the table that tells which rows must be read for verification.
@@ -85,7 +87,7 @@ def weighted_samples(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, d
     part = lambda h, shift: ((h >> np.uint64(shift)) & low).astype(np.float32) * unit + unit / 2
     at = at.astype(np.int32)
     for k in range(SAMPLES):
-        h, g = mix(s + np.uint64(2 * k + 1) * np.uint64(0xA0761D6478BD642F)), mix(s + np.uint64(2 * k + 2) * np.uint64(0xE7037ED1A0B428DB))
+        h, g = (mix(s + np.uint64(i * 0xA0761D6478BD642F & (1 << 64) - 1)) for i in (2 * k + 1, 2 * k + 2))
         r = -np.log(part(h, 0) * part(h, 21))
         c = -np.log(part(g, 0) * part(g, 21))
         beta = part(h, 42)
@@ -126,83 +128,105 @@ def signatures(df: DataFrame, key: str, text: str, norm: Normaliser, k: int) ->
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(sign, f"key {df.schema[key].dataType.simpleString()}, h long, sig binary")
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _band_rows(parts: int):
     bands = _bands()
-    for b in batches:
-        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, SAMPLES)
-        h = b.column(0).to_numpy()
-        for j, band in enumerate(bands):
-            value = np.ascontiguousarray(sig[:, band]).view(np.uint64)[:, 0]
-            yield pa.RecordBatch.from_arrays([pa.array(mix(value + np.uint64(j + 1)).view(np.int64)), pa.array(h)], names=["bucket", "h"])
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Bucket entries by part: of each entry 32 bits of the bucket and the place of its text in ``texts``."""
+        for b in _rows(batches):
+            sig, h = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, SAMPLES), b.column(0).to_numpy()
+            value = np.ascontiguousarray(sig[:, bands]).view(np.uint64)[:, :, 0]
+            key = mix(value + np.arange(1, len(bands) + 1, dtype=np.uint64)).ravel()
+            part = (key % np.uint64(parts)).astype(np.int32)
+            at = np.argsort(part, kind="stable")
+            doc, bucket = (at // len(bands)).astype(np.int32), (key[at] >> np.uint64(32)).astype(np.uint32)
+            names, starts = np.unique(part[at], return_index=True)
+            ends, out = np.append(starts[1:], len(at)), []
+            for lo, hi in zip(starts, ends):
+                own, local = np.unique(doc[lo:hi], return_inverse=True)
+                out.append((bucket[lo:hi].tobytes(), local.astype(np.uint16).tobytes(), h[own].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array(x, pa.binary()) for x in zip(*out))], names=["part", "bucket", "place", "texts"])
 
-def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by bucket: pairs of different texts (block null), and for buckets over BUCKET also their blocks."""
-    left, right, hot = [], [], []
-    bucket, members, block = None, [], 0
+    return rows
 
-    def close(last: bool) -> None:
-        nonlocal members, block
-        own = np.array(members)
-        if len(own) > 1:
-            i, j = np.triu_indices(len(own), 1)
-            left.append(own[i])
-            right.append(own[j])
-        if block or not last:
-            hot.append((bucket, block, members))
-            block += 1
-        members = []
+
+def _block_pairs(left: list, right: list, members: np.ndarray) -> None:
+    i, j = np.triu_indices(len(members), 1)
+    left.append(members[i])
+    right.append(members[j])
+
+
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From entries sorted by part: pairs of different texts (block null). Buckets over BUCKET also give their blocks, whose
+    pairs with each other are left to a join. Not more than HELD entries are held: beyond that, the members of the
+    largest buckets become blocks at once."""
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+    hot: list[tuple[int, int, list[int]]] = []
+    part, held, size, blocks = None, [], 0, {}
 
     def out() -> Iterator[pa.RecordBatch]:
-        nonlocal left, right, hot
         if left or hot:
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-            n, m = len(a), len(hot)
-            blank = lambda k, t: pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([pa.array(a, pa.int64()), blank(m, pa.int64())]),
-                    pa.concat_arrays([pa.array(b, pa.int64()), blank(m, pa.int64())]),
-                    pa.concat_arrays([blank(n, pa.int64()), pa.array([x[0] for x in hot], pa.int64())]),
-                    pa.concat_arrays([blank(n, pa.int32()), pa.array([x[1] for x in hot], pa.int32())]),
-                    pa.concat_arrays([blank(n, pa.list_(pa.int64())), pa.array([x[2] for x in hot], pa.list_(pa.int64()))]),
-                ],
-                names=["a", "b", "bucket", "block", "members"],
-            )
-        left, right, hot = [], [], []
+            n, m, none = len(a), len(hot), pa.nulls
+            pairs = [pa.concat_arrays([pa.array(np.minimum(a, b)), none(m, pa.int64())]), pa.concat_arrays([pa.array(np.maximum(a, b)), none(m, pa.int64())])]
+            of = [pa.concat_arrays([none(n, t), pa.array([x[i] for x in hot], t)]) for i, t in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*pairs, *of], names=["a", "b", "bucket", "block", "members"])
+        left.clear(), right.clear(), hot.clear()
+
+    def as_blocks(key: int, members: np.ndarray) -> None:
+        for i in range(0, len(members), BUCKET):
+            blocks[key] = n = blocks.get(key, -1) + 1
+            hot.append((part << 32 | key, n, members[i : i + BUCKET].tolist()))
+            _block_pairs(left, right, members[i : i + BUCKET])
+
+    def close(last: bool) -> None:
+        nonlocal held, size
+        if not held:
+            return
+        key, text = (np.concatenate(x) for x in zip(*held))
+        at = np.lexsort((text, key))
+        key, text = key[at], text[at]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])])
+        key, text = key[new], text[new]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(starts, len(key)))
+        large = (n > (BUCKET if last else max(BUCKET, HELD // 16))) | np.isin(key[starts], np.fromiter(blocks, np.uint32, len(blocks)))
+        for i in np.flatnonzero(large):
+            as_blocks(int(key[starts[i]]), text[starts[i] : starts[i] + n[i]])
+        if not last:
+            keep = np.repeat(~large, n)
+            held, size = [(key[keep], text[keep])], int(keep.sum())
+            return
+        for m in np.unique(n[(n > 1) & ~large]):
+            rows = starts[(n == m) & ~large]
+            i, j = np.triu_indices(m, 1)
+            left.append(text[rows[:, None] + i].ravel())
+            right.append(text[rows[:, None] + j].ravel())
+        held, size = [], 0
 
     for batch in batches:
-        keys, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        new[0] = bucket is None or keys[0] != bucket
-        at = np.append(np.flatnonzero(new), len(keys))
-        if at[0] > 0:  # the batch begins in the bucket that is open
-            at = np.append(0, at)
-        single = np.diff(at) == 1
-        for i in range(len(at) - 1):
-            if new[at[i]]:
-                if len(members) > 1 or block:
-                    close(True)
-                bucket, members, block = int(keys[at[i]]), [], 0
-                if single[i]:
-                    members = [int(hs[at[i]])]
-                    continue
-            for h in hs[at[i] : at[i + 1]].tolist():
-                if not members or members[-1] != h:
-                    if len(members) == BUCKET:
-                        close(False)
-                    members.append(h)
+        for p, bucket, place, texts in zip(*(c.to_pylist() for c in batch.columns)):
+            if p != part:
+                close(True)
+                part = p
+                blocks.clear()
+            held.append((np.frombuffer(bucket, np.uint32), np.frombuffer(texts, np.int64)[np.frombuffer(place, np.uint16)]))
+            size += len(held[-1][0])
+            if size > HELD:
+                close(False)
         if sum(map(len, left)) > 50_000 or len(hot) > 50:
             yield from out()
-    if len(members) > 1 or block:
-        close(True)
+    close(True)
     yield from out()
 
 
 def proposed_pairs(signed: DataFrame) -> DataFrame:
     """(a, b), a < b: texts that share a bucket of some band, once each."""
-    rows = signed.where("sig is not null").select("h", "sig").mapInArrow(_band_rows, "bucket long, h long")
-    found = rows.repartition("bucket").sortWithinPartitions("bucket", "h").mapInArrow(_pair_rows, "a long, b long, bucket long, block int, members array<long>")
+    rows = signed.where("sig is not null").select("h", "sig")
+    parts = max(64, rows.count() * BANDS // PART_ENTRIES)
+    entries = rows.mapInArrow(_band_rows(parts), "part int, bucket binary, place binary, texts binary")
+    found = entries.repartition("part").sortWithinPartitions("part").mapInArrow(_pair_rows, "a long, b long, bucket long, block int, members array<long>")
     found = written(found.distinct(), "proposed")
     hot = found.where("block is not null")
     if hot.isEmpty():

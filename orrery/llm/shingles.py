@@ -38,7 +38,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     key = hex(base)
     if key not in _POWERS or len(_POWERS[key]) < n:
         with np.errstate(over="ignore"):
-            _POWERS[key] = np.cumprod(np.concatenate([[1], np.full(max(n, SLAB + 4096), base, np.uint64)]).astype(np.uint64))
+            _POWERS[key] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, SLAB + 4096), base, np.uint64)]), dtype=np.uint64)
     return _POWERS[key]
 
 
