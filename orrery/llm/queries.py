@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import boilerplate, dialogue, lookalikes, mixing, neardup, packing, tokens
-from orrery.session import table
+from orrery.llm import boilerplate, dialogue, lookalikes, mixing, neardup, packing, replies, subjects, tokens
+from orrery.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,36 @@ def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares that the selection reaches."""
     return _mixed(spark, sf_dir)[1]
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with their defect, of the pairs whose reply has one."""
+    pairs = replies.question_reply_pairs(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
+    return replies.defects(written(pairs, "pairs")).where("defect is not null").select("message_id", "defect")
+
+
+@query
+def p3_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reply to a question with its content, role and citations, and its defect, if it has one."""
+    pairs = replies.question_reply_pairs(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
+    return replies.defects(written(pairs, "pairs")).select("message_id", F.col("reply").alias("content"), "role", "citations", "defect")
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    examples = table(spark, sf_dir, "subject_examples", ["subject", "text"]).limit(subjects.MOST_EXAMPLES).collect()
+    return subjects.subjects_of(table(spark, sf_dir, "documents"), "doc_id", "text", [(r.subject, r.text) for r in examples])
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of each document."""
+    return _subjects(spark, sf_dir).select(F.col("key").alias("doc_id"), "subject")
+
+
+@query
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject: documents that have it, and their characters."""
+    chars = table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", F.length("text").alias("chars"))
+    found = _subjects(spark, sf_dir).join(chars, F.col("key") == F.col("doc_id"))
+    return found.groupBy("subject").agg(F.count("*").alias("documents"), F.sum("chars").alias("characters"))
