@@ -26,7 +26,9 @@ from orrery.llm.ordering import PART, partitioned, with_border_rows
 
 LABELS = ("empty", "truncated", "refusal", "echo", "other_language")
 #: Pairs to train on, at most, and places of the hashed n-grams of each kind.
-TRAIN_PAIRS, HASHED = 6000, 1 << 16
+TRAIN_PAIRS, HASHED = 5000, 1 << 16
+#: Pairs of the first model, and how far under a threshold a reply must lie in it to serve in the second.
+FIRST_PAIRS, CLEAR = 1200, 2.5
 
 # Frequent words that tell the languages apart.
 FUNCTION_WORDS = {
@@ -149,7 +151,7 @@ def pair_features(question: str, reply: str) -> tuple[np.ndarray, list[int]]:
     x[33] = bool(_HANDLE.search(text))
     if not open_end:
         return x, []
-    kind = "l" if listed else "r" if ref else "p"
+    kind = ("l" if listed else "r" if ref else "p") + ("," if x[23] else "")
     tail = ["#" if w[0].isdigit() else w for w in _WORD.findall(bare[-80:].lower())[-4:]]
     return x, [shingles.xxhash.xxh32_intdigest(f"{kind} {' '.join(tail[-n:])}") % HASHED for n in range(1, len(tail) + 1)]
 
@@ -254,19 +256,16 @@ def synthetic(pairs: Sequence[tuple[str, str]], seed: int = 0) -> tuple[list[str
             out.append((q, rng.choice(blanks), 0))
         if (c := _cut(r, rng)) is not None:
             out.append((q, c, 1))
-        if "\n- " in r or r.startswith("- "):
-            items = r.split("\n")
-            k = rng.randint(1, len(items))
-            if (whole := "\n".join(items[:k]).rstrip().rstrip(".")) and items[k - 1].startswith("- "):
-                out.append((q, whole, -1))
-            if (c := _cut(r, rng)) is not None:
-                out.append((q, c, 1))
-        elif rng.random() < 0.25 and "|" not in r and "\n" not in r:
-            sentences = re.split(r"(?<=[.\]])\s+(?=[A-ZÀ-Þ¿])", r)
-            items = ["- " + s for s in sentences]
-            out.append((q, "\n".join(items).rstrip("."), -1))
-            if (c := _cut("\n".join(items), rng)) is not None:
-                out.append((q, c, 1))
+        items = r.split("\n") if "\n- " in r or r.startswith("- ") else []
+        if not items and rng.random() < 0.5 and "|" not in r and "\n" not in r:
+            items = ["- " + s for s in re.split(r"(?<=[.\]])\s+(?=[A-ZÀ-Þ¿])", r)]
+        if items:
+            for k in {rng.randint(1, len(items)) for _ in range(3)}:
+                if (whole := "\n".join(items[:k]).rstrip().rstrip(".")) and items[k - 1].startswith("- "):
+                    out.append((q, whole, -1))
+            for _ in range(2):
+                if (c := _cut("\n".join(items), rng)) is not None:
+                    out.append((q, c, 1))
         elif "|" in r and rng.random() < 0.7:
             row = r.rstrip().rsplit("\n", 1)[-1]
             if row.startswith("|") and row.count("|") > 2:
@@ -323,9 +322,9 @@ def train(pairs: Sequence[tuple[str, str]], seed: int = 1) -> Model:
             base.append((q, r.strip()))
     if not base:
         return Model(np.zeros((DENSE, len(LABELS))), np.zeros((2 * HASHED, len(LABELS))), np.full(len(LABELS), np.inf))
-    first = _fit_once(base, seed)
-    flagged = first.flags([q for q, _ in base], [r for _, r in base])
-    return _fit_once([p for p, f in zip(base, flagged) if f is None] or base, seed + 1)
+    first = _fit_once(base[:FIRST_PAIRS], seed)
+    over = (first.scores(*features([q for q, _ in base], [r for _, r in base])) - first.thresholds).max(axis=1)
+    return _fit_once([p for p, f in zip(base, over) if f < -CLEAR] or base, seed + 1)
 
 
 def question_reply_pairs(messages: DataFrame, conversations: DataFrame) -> DataFrame:
