@@ -1,4 +1,4 @@
-"""Queries by name and the SQL they are checked against."""
+"""Queries by name and the SQL they are checked against. ``orrery.plans.queries`` registers them."""
 
 from __future__ import annotations
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import functools
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +53,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``f``, with this package sent to the session's executors first, once a session."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sc = spark.sparkContext
+        if sc.applicationId not in _SHIPPED:
+            root = Path(__file__).parent
+            folder = tempfile.mkdtemp(prefix="orrery-code-")  # the driver's own; it serves the file to the executors
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            sc.addPyFile(shutil.make_archive(f"{folder}/orrery", "zip", root.parent, root.name))
+            _SHIPPED.add(sc.applicationId)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if a count finds at most ``rows`` rows in it; otherwise ``df`` as it is, so that the
     join is a shuffled one. ``df`` should be cheap to count, such as a written table."""
