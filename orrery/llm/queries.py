@@ -129,8 +129,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p3_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reply to a question with its content, role and citations, and its defect, if it has one."""
-    pairs = replies.question_reply_pairs(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
-    return replies.defects(written(pairs, "pairs")).select("message_id", F.col("reply").alias("content"), "role", "citations", "defect")
+    messages = table(spark, sf_dir, "messages")
+    pairs = replies.question_reply_pairs(messages, table(spark, sf_dir, "conversations"))
+    found = replies.defects(written(pairs, "pairs")).select("message_id", "defect")
+    return messages.withColumnRenamed("id", "message_id").join(found, "message_id").select("message_id", "content", "role", "citations", "defect")
 
 
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -328,15 +328,19 @@ def train(pairs: Sequence[tuple[str, str]], seed: int = 1) -> Model:
 
 
 def question_reply_pairs(messages: DataFrame, conversations: DataFrame) -> DataFrame:
-    """(conversation_id, message_id, question, reply, role, citations): each user message with something to see and the
-    assistant's message directly after it, in known conversations whose roles and times can all be read."""
-    t = turns(messages, conversations, ("role", "citations")).where("not broken").drop("broken")
+    """(message_id, question, reply): each user message with something to see and the assistant's message directly after it,
+    in known conversations whose roles and times can all be read. Order is found without the texts, which are joined to
+    the pairs by id at the end."""
+    t = turns(messages, conversations).where("not broken").drop("broken")
     group, order = ["conversation_id"], ["instant", "message_id"]
     seen = with_border_rows(partitioned(t, group, order), group, order, 1)
     w = Window.partitionBy(PART).orderBy(*group, *order)
-    before = F.lag(F.struct("conversation_id", "speaker", "visible", "content")).over(w)
-    seen = seen.withColumn("_q", before).where("not _ghost and speaker = 'assistant' and _q.speaker = 'user' and _q.visible and _q.conversation_id = conversation_id")
-    return seen.select("conversation_id", "message_id", F.col("_q.content").alias("question"), F.col("content").alias("reply"), "role", "citations")
+    before = F.lag(F.struct("conversation_id", "message_id", "speaker", "visible")).over(w)
+    ids = seen.withColumn("_q", before).where("not _ghost and speaker = 'assistant' and _q.speaker = 'user' and _q.visible and _q.conversation_id = conversation_id")
+    ids = ids.select("message_id", F.col("_q.message_id").alias("question_id"))
+    texts = messages.where("id is not null").groupBy("id").agg(F.first(F.coalesce("content", F.lit(""))).alias("content"))
+    reply = ids.join(texts.withColumnsRenamed({"id": "message_id", "content": "reply"}), "message_id")
+    return reply.join(texts.withColumnsRenamed({"id": "question_id", "content": "question"}), "question_id").select("message_id", "question", "reply")
 
 
 def defects(pairs: DataFrame, train_pairs: int = TRAIN_PAIRS) -> DataFrame:
