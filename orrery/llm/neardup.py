@@ -104,16 +104,15 @@ def _bands() -> np.ndarray:
 
 
 def signatures(df: DataFrame, key: str, text: str, norm: Normaliser, k: int) -> DataFrame:
-    """(key, h, first, sig) of each row with a shingle: the hash of its text, whether the text is new to its task, and its
-    samples."""
+    """(key, h, sig) of each row whose text has a shingle: the hash of the text, and its samples if it is new to its task."""
     idf = df.sparkSession.sparkContext.broadcast(inverse_frequencies(df, text, norm, k))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, seen = idf.value, set()
+        weights, seen = idf.value, {}  # whether a text seen before has a shingle
         for b in _rows(batches):
             cleaned = [clean(t, norm) for t in b.column(1).to_pylist()]
             hashes = [text_hash(t) for t in cleaned]
-            fresh = [i for i, h in enumerate(hashes) if not (h in seen or seen.add(h))]
+            fresh = [i for i, h in enumerate(hashes) if h not in seen and seen.setdefault(h, True)]
             doc, shingle, times = shingle_sets([cleaned[i] for i in fresh], k)
             w = weights[(shingle & np.uint64(DF_SIZE - 1)).astype(np.int64)] * times.astype(np.float32)
             sig = weighted_samples(doc, shingle, w, len(fresh))
@@ -121,9 +120,12 @@ def signatures(df: DataFrame, key: str, text: str, norm: Normaliser, k: int) ->
             has[doc] = True
             sigs: list[bytes | None] = [None] * len(hashes)
             for j, i in enumerate(fresh):
+                seen[hashes[i]] = bool(has[j])
                 if has[j]:
                     sigs[i] = sig[j].tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.int64()), pa.array(sigs, pa.binary())], names=["key", "h", "sig"])
+            own = pa.array([seen[h] for h in hashes], pa.bool_())
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.int64()), pa.array(sigs, pa.binary())], names=["key", "h", "sig"])
+            yield out.filter(own)
 
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(sign, f"key {df.schema[key].dataType.simpleString()}, h long, sig binary")
 
@@ -182,7 +184,8 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close(last: bool) -> None:
         nonlocal held, size
-        if not held:
+        if not size:
+            held = []
             return
         key, text = (np.concatenate(x) for x in zip(*held))
         at = np.lexsort((text, key))
@@ -263,8 +266,7 @@ def similar_texts(df: DataFrame, key: str, text: str, threshold: float = 0.8, k:
     verified = near.join(sets.select(F.col("h").alias("a"), F.col("s").alias("p")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("q")), "b")
     shared = F.size(F.array_intersect("p", "q"))
     links = verified.select("a", "b", (shared / (F.size("p") + F.size("q") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
-    members = signed.select("key", "h", (F.col("sig").isNotNull()).alias("own")).groupBy("key", "h").agg(F.max("own").alias("own"))
-    return members.select("key", "h"), links
+    return signed.select("key", "h").distinct(), links
 
 
 def _sets(df: DataFrame, key: str, text: str, norm: Normaliser, k: int, wanted: DataFrame) -> DataFrame:

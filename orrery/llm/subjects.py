@@ -1,12 +1,11 @@
 """Problem 8: the subject areas that a document's sentences deal with.
 
 Each subject has an interpolated model of words and bigrams, trained on its labelled passages; the background is the mean of
-all subjects' models and, once there are any, of the sentences that deal with none. Where the models agree on an n-gram
+all subjects' models and of all sentences of the corpus. Where the models agree on an n-gram
 a subject's model backs off to the background; where the n-gram is concentrated in one subject it keeps its own estimate. A
 sentence deals with the subject whose model has the lowest per-token cross-entropy, if it lies below the background's by
 more than a threshold. Models are trained again on all sentences of the corpus as labelled by the models before, so that
-words the passages lack are learned from their company, and figures of speech from sentences that deal with none. The
-threshold is calibrated: the valley between the two heaps of the gains of all sentences, but not far below or above what nearly all
+words the passages lack are learned from their company. The threshold is calibrated: the valley between the two heaps of the gains of all sentences, but not far below or above what nearly all
 labelled sentences reach. A document has each subject that at least a share of its sentences deal with.
 
 Counts are kept in hashed tables of fixed size, over all documents; only these tables and a histogram come to the driver.
@@ -16,7 +15,8 @@ texts of any length are read whole; without labelled passages there are no subje
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import functools
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +25,15 @@ from pyspark.sql import functions as F
 
 from orrery.llm import shingles
 from orrery.llm.neardup import _rows
+from orrery.llm.replies import FUNCTION_WORDS
 
-#: Places of each table of counts; weights of words and bigrams in a model.
-PLACES = 1 << 17
+#: Places of each table of counts, an eighth for each language; weights of words and bigrams in a model.
+PLACES = 1 << 19
 WORD_WEIGHT, BIGRAM_WEIGHT = 0.1, 0.9
 #: Share of an n-gram's probability in all models from which on it is a subject's own, and the counts added against chance.
-CONCENTRATED, AGAINST_CHANCE = 0.5, 1.0
+CONCENTRATED, AGAINST_CHANCE = 0.5, 0.6
+#: The weight of the corpus's background beside that of a subject in an n-gram's probability in all models.
+BACKGROUND_WEIGHT = 2.0
 SHARE, ROUNDS = 0.25, 3
 #: Labelled passages that are read, at most (a table of parameters).
 MOST_EXAMPLES = 100_000
@@ -41,6 +44,7 @@ EDGES = np.linspace(0.0, 2.0, 201)
 
 _BASE, _INVERSE = shingles._BASE, shingles._INVERSE
 _NUMBER, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_OWN = PLACES // 8
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 _SPACE = np.zeros(256, bool)
@@ -51,9 +55,24 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 
 
+@functools.cache
+def _languages() -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent words of one language each, sorted, and the language's number, from 1."""
+    words = [(w, i + 1) for i, ws in enumerate(FUNCTION_WORDS.values()) for w in ws.split() if sum(w in x.split() for x in FUNCTION_WORDS.values()) == 1]
+    h = _hashed([w.encode() for w, _ in words])
+    at = np.argsort(h)
+    return h[at], np.array([i for _, i in words])[at]
+
+
+def _hashed(words: Sequence[bytes]) -> np.ndarray:
+    buf = np.frombuffer(b"\x00" + b"\x00".join(words) + b"\x00\x00\x00", np.uint8)
+    return _words(buf)[2]
+
+
 def grams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(sentence, word, bigram, doc): for each word its sentence, counted through all texts, and the places of the word and
-    of the word with the one before it in its sentence; and the text of each sentence. Sentences end at line breaks, and at a
+    of the word with the one before it in its sentence, in the part of the sentence's language (by its frequent words); and
+    the text of each sentence. Sentences end at line breaks, and at a
     full stop, question or exclamation mark before white space that no small letter follows."""
     out, docs, first, base = [], [], 0, 0
     raw = [(t or "").encode("utf-8", "replace").replace(b"\x00", b" ") for t in texts]
@@ -73,18 +92,23 @@ def grams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return *(np.concatenate(x) for x in zip(*out)), np.concatenate(docs)
 
 
-def _slab(raw: Sequence[bytes]) -> tuple[np.ndarray, ...]:
-    buf = np.frombuffer(b"\x00" + b"\x00".join(raw) + b"\x00\x00\x00", np.uint8)
+def _words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = shingles._TABLE[buf]
     edge = np.flatnonzero((x[1:] != 0) != (x[:-1] != 0)) + 1
     start, end = edge[::2], edge[1::2]
-    if not len(start):
-        z = np.zeros(0, np.int64)
-        return z, z, z, z
     with np.errstate(over="ignore"):
         total = np.cumsum(x * shingles._powers(_BASE, len(x))[: len(x)])
         w = shingles.mix((total[end - 1] - total[start - 1]) * shingles._powers(_INVERSE, len(x))[start] + (end - start).astype(np.uint64))
     w[_DIGIT[buf[start]]] = _NUMBER
+    return start, end, w
+
+
+def _slab(raw: Sequence[bytes]) -> tuple[np.ndarray, ...]:
+    buf = np.frombuffer(b"\x00" + b"\x00".join(raw) + b"\x00\x00\x00", np.uint8)
+    start, _, w = _words(buf)
+    if not len(start):
+        z = np.zeros(0, np.int64)
+        return z, z, z, z
     stops = np.flatnonzero(_STOP[buf[:-2]] & _SPACE[buf[1:-1]] & ~_LOWER[buf[2:]])
     ends = np.sort(np.concatenate([stops, np.flatnonzero((buf == 10) | (buf == 0))]))
     piece = np.searchsorted(ends, start)
@@ -92,31 +116,37 @@ def _slab(raw: Sequence[bytes]) -> tuple[np.ndarray, ...]:
     sentence = np.cumsum(fresh) - 1
     begins = np.cumsum([1] + [len(t) + 1 for t in raw[:-1]])
     doc = np.searchsorted(begins, start[fresh], side="right") - 1
+    known, which = _languages()
+    at = np.minimum(np.searchsorted(known, w), len(known) - 1)
+    told = np.flatnonzero(known[at] == w)
+    votes = np.bincount(sentence[told] * 8 + which[at[told]], minlength=8 * len(doc)).reshape(-1, 8)
+    language = np.where(votes.max(axis=1) > 0, votes.argmax(axis=1), 0)[sentence] * _OWN
     before = np.concatenate([[_START], w[:-1]])
     before[fresh] = _START
-    mask = np.uint64(PLACES - 1)
-    place = lambda v: (v & mask).astype(np.int32)
     with np.errstate(over="ignore"):
         both = shingles.mix(w * np.uint64(3) + before * np.uint64(0x9E3779B97F4A7C15))
+    place = lambda v: (v & np.uint64(_OWN - 1)).astype(np.int64) + language
     return sentence, place(w), place(both), doc
 
 
 class Models:
     """For each place of a word or bigram the subject whose own it is (-1 for none) and the subject's gain in probability
-    over the background, weighted. ``counts`` has a row for each place of words, then of bigrams, and a column for each
-    subject, then, if ``rest``, one for the sentences of none."""
+    over the background of its language, weighted. ``counts`` has a row for each place of words, then of bigrams, and a column for each
+    subject; ``background`` has the counts of all sentences of the corpus."""
 
-    def __init__(self, counts: np.ndarray, rest: bool) -> None:
-        self.subjects = counts.shape[1] - rest
+    def __init__(self, counts: np.ndarray, background: np.ndarray) -> None:
+        self.subjects = counts.shape[1]
         self.owner, self.gain = [], []
-        for c, weight in zip(counts.reshape(2, PLACES, -1), (WORD_WEIGHT, BIGRAM_WEIGHT)):
-            p = c / np.maximum(c.sum(axis=0), 1)
-            best = p[:, : self.subjects].argmax(axis=1)
-            at = np.arange(PLACES)
-            share = p[at, best] / np.maximum(p.sum(axis=1), 1e-30)
+        for c, b, weight in zip(counts.reshape(2, PLACES, -1), background.reshape(2, PLACES), (WORD_WEIGHT, BIGRAM_WEIGHT)):
+            c, b = c.reshape(8, _OWN, -1), b.reshape(8, _OWN)
+            p = (c / np.maximum(c.sum(axis=1, keepdims=True), 1)).reshape(PLACES, -1)
+            b, c = (b / np.maximum(b.sum(axis=1, keepdims=True), 1)).ravel(), c.reshape(PLACES, -1)
+            best, at = p.argmax(axis=1), np.arange(PLACES)
+            every = p.sum(axis=1) + BACKGROUND_WEIGHT * b
+            share = p[at, best] / np.maximum(every, 1e-30)
             sure = share * c[at, best] / (c[at, best] + AGAINST_CHANCE) >= CONCENTRATED
             self.owner.append(np.where(sure, best, -1).astype(np.int8))
-            self.gain.append(np.where(sure, weight * np.maximum(share * counts.shape[1] - 1, 0), 0).astype(np.float32))
+            self.gain.append(np.where(sure, weight * np.maximum(share * (self.subjects + BACKGROUND_WEIGHT) - 1, 0), 0).astype(np.float32))
 
     def gains(self, sentence: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """How far each subject's cross-entropy lies below the background's, in nats a token, by sentence."""
@@ -130,26 +160,27 @@ class Models:
         return out.reshape(n, self.subjects) / np.maximum(np.bincount(sentence, minlength=n), 1)[:, None]
 
 
-def _by_label(word: np.ndarray, pair: np.ndarray, label: np.ndarray, columns: int) -> np.ndarray:
-    """Counts by place and label."""
-    at = np.concatenate([word, pair.astype(np.int64) + PLACES]) * columns + np.tile(label, 2)
-    return np.bincount(at, minlength=2 * PLACES * columns).reshape(2 * PLACES, columns)
+def _by_label(word: np.ndarray, pair: np.ndarray, label: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by place and label, as sorted numbers place * columns + label and how often each occurs."""
+    return np.unique(np.concatenate([word, pair + PLACES]) * columns + np.tile(label, 2), return_counts=True)
+
 
+def _table(at: np.ndarray, n: np.ndarray, columns: int) -> np.ndarray:
+    out = np.zeros(2 * PLACES * columns, np.float32)
+    out[at] = n
+    return out.reshape(2 * PLACES, columns)
 
-def _summed(df: DataFrame, text: str, columns: int, of) -> np.ndarray:
-    """The sum over all rows of tables of 2 * PLACES rows and ``columns`` columns, which ``of(texts)`` gives for a batch."""
+
+def _summed(df: DataFrame, text: str, columns: int, of: Callable[[Sequence[str | None]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The sum over all rows of the counts that ``of(texts)`` gives for a batch, as a table of 2 * PLACES rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * PLACES * columns, np.int64)
         for b in _rows(batches):
-            total += of(b.column(0).to_pylist()).ravel()
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["place", "n"])
+            at, n = of(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int64())], names=["place", "n"])
 
     counted = df.select(text).mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(2 * PLACES * columns)
-    out[counted.place.to_numpy()] = counted.n.to_numpy()
-    return out.reshape(2 * PLACES, columns)
+    return _table(counted.place.to_numpy(), counted.n.to_numpy(), columns)
 
 
 def accepted(gain: np.ndarray, threshold: float) -> np.ndarray:
@@ -175,18 +206,19 @@ def train(documents: DataFrame, text: str, examples: Sequence[tuple[str, str]],
     column = {s: i for i, s in enumerate(names)}
     sentence, word, pair, doc = grams([t for _, t in examples])
     subject = np.array([column[s] for s, _ in examples])[doc]
-    labelled = _by_label(word, pair, subject[sentence], len(names) + 1).astype(float)
-    models, sc = Models(labelled[:, :-1], False), documents.sparkSession.sparkContext
+    labelled = _table(*_by_label(word, pair, subject[sentence], len(names)), len(names))
+    background = _summed(documents, text, 1, lambda texts: _by_label(*(g := grams(texts))[1:3], np.zeros(len(g[0]), np.int64), 1))[:, 0]
+    models, sc = Models(labelled, background), documents.sparkSession.sparkContext
     for r in range(rounds):
         known = models.gains(sentence, word, pair)[np.arange(len(subject)), subject]
         shared, margin = sc.broadcast(models), max(float(np.quantile(known, MARGINS[min(r, len(MARGINS) - 1)])), 0.05)
 
         def learn(texts: Sequence[str | None]) -> np.ndarray:
             s, w, p, _ = grams(texts)
-            label = accepted(shared.value.gains(s, w, p), margin)
-            return _by_label(w, p, np.where(label < 0, len(names), label)[s], len(names) + 1)
+            label = accepted(shared.value.gains(s, w, p), margin)[s]
+            return _by_label(w[label >= 0], p[label >= 0], label[label >= 0], len(names))
 
-        models = Models(_summed(documents, text, len(names) + 1, learn) + labelled, True)
+        models = Models(_summed(documents, text, len(names), learn) + labelled, background)
     known = models.gains(sentence, word, pair)[np.arange(len(subject)), subject]
     shared = sc.broadcast(models)
 
