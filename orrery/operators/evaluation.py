@@ -37,6 +37,6 @@ def entity_coverage(ranked: DataFrame, named: DataFrame, k: int = 10) -> DataFra
 
 def means(per_question: DataFrame, category: str, metrics: list[str]) -> DataFrame:
     """Means, to four places, overall (category null) and by category, with the number of questions that have a value."""
-    per_question.createOrReplaceTempView("_per_question")
-    cols = ", ".join(f"round(avg({m}), 4) AS {m}, count({m}) AS n_{m}" for m in metrics)
-    return per_question.sparkSession.sql(f"SELECT {category}, {cols} FROM _per_question GROUP BY GROUPING SETS (({category}), ())")
+    cols = [c for m in metrics for c in (F.round(F.avg(m), 4).alias(m), F.count(m).alias(f"n_{m}"))]
+    overall = per_question.agg(*cols).withColumn(category, F.lit(None).cast(per_question.schema[category].dataType))  # a row even of nothing
+    return per_question.groupBy(category).agg(*cols).unionByName(overall)
