@@ -21,9 +21,12 @@ def terms(text: Column) -> Column:
 
 def shingles(text: Column, k: int = 5) -> Column:
     """The distinct runs of ``k`` words, as strings; fewer than ``k`` words are one run."""
-    w = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.when(F.size(w) < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(runs))
+    def runs(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.when(F.size(w) < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(each))
+
+    # bound as the element of an array, or the words would be found again for every run
+    return F.transform(F.array(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))), runs)[0]
 
 
 def normalised_name(name: Column) -> Column:

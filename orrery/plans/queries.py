@@ -195,10 +195,12 @@ def _quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = _named(spark, sf_dir)
     named = named.withColumn("n_companies", F.count("*").over(Window.partitionBy("question"))).withColumn("budget", search.budget(20, F.col("n_companies")))
     c = _chunks(spark, sf_dir, "text", "ticker", "source_file", "item_section", "fiscal_year")
-    scored = search.bm25(c, "chunk_id", "text", _questions(spark, sf_dir), "question", "text", 1 << 30)
-    own = scored.drop("rank").join(c.drop("text").withColumnRenamed("chunk_id", "key"), "key").join(named, ["question", "ticker"])
+    scoped = _questions(spark, sf_dir).join(named.select("question", "ticker"), "question")
+    scored = search.bm25(c, "chunk_id", "text", scoped, "question", "text", None, scope="ticker")
+    own = scored.join(c.drop("text", "ticker").withColumnRenamed("chunk_id", "key"), "key").join(named, ["question", "ticker"])
     by = ("question", "ticker")
-    kept = search.diverse(search.top(own, 1 << 30, by), "source_file", F.col("budget"), by=by)
+    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "key")))
+    kept = search.diverse(ranked, "source_file", F.col("budget"), by=by)
     place = F.row_number().over(Window.partitionBy("question").orderBy("mention", "item_section", F.asc_nulls_first("fiscal_year"), "position"))
     return kept.withColumn("place", place)
 
