@@ -11,7 +11,7 @@ from orrery.plans.registry import query
 from orrery.session import table, written
 
 _CHUNKS = "(SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC) = 1)"
-_QUESTIONS = "(SELECT id AS question, content AS text FROM messages WHERE id % 100 = 0 AND content IS NOT NULL)"
+_QUESTIONS = "(SELECT id AS question, content AS text FROM messages WHERE id % 100 = 0 AND content IS NOT NULL AND lower(trim(role, ' ')) IN ('user', 'human', 'customer'))"
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 _TERMS = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: NOT list_contains({_STOP}, w))"
 _NAME = r"trim(regexp_replace(regexp_replace(lower({0}), '\b(?:incorporated|inc|corporation|corp|company|co|limited|ltd|plc|llc|group|holdings)\b\.?', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'))"
@@ -23,7 +23,9 @@ def _chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "messages", ["id", "content"]).where("id % 100 = 0 and content is not null").toDF("question", "text")
+    """What users asked, of every message whose id is divisible by 100."""
+    m = table(spark, sf_dir, "messages", ["id", "content", "role"]).where("id % 100 = 0 and content is not null and lower(trim(role)) in ('user', 'human', 'customer')")
+    return m.select(F.col("id").alias("question"), F.col("content").alias("text"))
 
 
 def _ranked_sql(k: int, idf: bool) -> str:
