@@ -1,9 +1,9 @@
 """Problem 5: groups of records that share most of their content.
 
-Weights of a text's shingles are their times in the text by ln(1 + N / df), with document frequencies counted over all
-rows in a table of fixed size. Improved consistent weighted sampling gives each text ``SAMPLES`` values, any of which two
-texts share with the probability of their weighted Jaccard similarity; ``BANDS`` bands of ``PER_BAND`` values propose
-pairs; pairs whose values agree too seldom are left out; the rest are verified on their whole shingle sets.
+Every shingle of a text weighs the same, so that the samples tell the similarity that is verified: consistent sampling gives
+each text ``SAMPLES`` values, any of which two texts share with the probability of their Jaccard similarity, whatever
+stands in the other rows; ``BANDS`` bands of ``PER_BAND`` values propose pairs (0.992 of those at 0.6, 0.999 at 0.65); pairs
+whose values agree too seldom are left out; the rest are verified on their whole shingle sets.
 
 Exact copies of a text are one text until the end, so a text that stands in a third of all rows costs one. Buckets larger
 than ``BUCKET`` are paired in blocks by a join, so none is held by one task and no pair is lost.
@@ -25,11 +25,9 @@ from orrery.llm.lookalikes import Normaliser, normaliser_for
 from orrery.llm.shingles import clean, mix, shingle_sets, text_hash
 from orrery.session import written
 
-#: Places of the table of document frequencies; rare shingles share places with others that are mostly rare, too.
-DF_SIZE = 1 << 17
 SAMPLES, PER_BAND, BANDS = 64, 4, 48
-#: Least share of the samples on which a proposed pair must agree to be verified; for the weighted similarities of pairs at
-#: the threshold (0.55 and more here) it lies four standard deviations below.
+#: Least share of the samples on which a proposed pair must agree to be verified; it lies five standard deviations below a
+#: similarity of 0.6.
 LEAST_AGREEMENT = 0.28
 BUCKET = 200
 #: Entries of a part of the buckets, and entries held at once where one part has more.
@@ -53,33 +51,22 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def inverse_frequencies(df: DataFrame, text: str, norm: Normaliser, k: int) -> np.ndarray:
-    """ln(1 + N / df) by place of the frequency table, over all rows; at most DF_SIZE numbers come to the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(DF_SIZE, np.int64), 0
-        for b in _rows(batches):
-            cleaned = [clean(t, norm) for t in b.column(0).to_pylist()]
-            total += np.bincount((shingle_sets(cleaned, k)[1] & np.uint64(DF_SIZE - 1)).astype(np.int64), minlength=DF_SIZE)
-            n += b.num_rows
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], n), pa.int64())], names=["place", "n"])
-
-    counted = df.select(text).mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    table, rows = np.ones(DF_SIZE), int(counted.n[counted.place < 0].sum())
-    known = counted[counted.place >= 0]
-    table[known.place.to_numpy()] = known.n.to_numpy()
-    return np.log1p(max(rows, 1) / table).astype(np.float32)
-
-
-def weighted_samples(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs: int) -> np.ndarray:
+def weighted_samples(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray | None, docs: int) -> np.ndarray:
     """Improved consistent weighted sampling: SAMPLES values of 16 bits for each of ``docs`` weighted sets, given as sorted
-    (doc, shingle, weight). A sample is told by the logarithm of its least ``a``, which depends on shingle and step only."""
+    (doc, shingle, weight). A sample is told by the logarithm of its least ``a``, which depends on shingle and step only.
+    Without weights all shingles weigh the same, and a sample is told by its least hash."""
     out = np.zeros((docs, SAMPLES), np.uint16)
     if not len(doc):
         return out
     starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     present = doc[starts]
+    if weight is None:
+        s, at = np.unique(shingle, return_inverse=True)
+        at = at.astype(np.int32)
+        for k in range(SAMPLES):
+            h = (mix(s + np.uint64((k + 1) * 0xA0761D6478BD642F & (1 << 64) - 1)) >> np.uint64(32)).astype(np.uint32)
+            out[present, k] = (mix(np.minimum.reduceat(h[at], starts).astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+        return out
     key = shingle ^ (weight.view(np.uint32).astype(np.uint64) << np.uint64(32))
     key, first, at = np.unique(key, return_index=True, return_inverse=True)
     s, logw, unit = shingle[first], np.log(weight[first]), np.float32(1 / (1 << 21))
@@ -105,17 +92,15 @@ def _bands() -> np.ndarray:
 
 def signatures(df: DataFrame, key: str, text: str, norm: Normaliser, k: int) -> DataFrame:
     """(key, h, sig) of each row whose text has a shingle: the hash of the text, and its samples if it is new to its task."""
-    idf = df.sparkSession.sparkContext.broadcast(inverse_frequencies(df, text, norm, k))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, seen = idf.value, {}  # whether a text seen before has a shingle
+        seen: dict[int, bool] = {}  # whether a text seen before has a shingle
         for b in _rows(batches):
             cleaned = [clean(t, norm) for t in b.column(1).to_pylist()]
             hashes = [text_hash(t) for t in cleaned]
             fresh = [i for i, h in enumerate(hashes) if h not in seen and seen.setdefault(h, True)]
-            doc, shingle, times = shingle_sets([cleaned[i] for i in fresh], k)
-            w = weights[(shingle & np.uint64(DF_SIZE - 1)).astype(np.int64)] * times.astype(np.float32)
-            sig = weighted_samples(doc, shingle, w, len(fresh))
+            doc, shingle, _ = shingle_sets([cleaned[i] for i in fresh], k)
+            sig = weighted_samples(doc, shingle, None, len(fresh))
             has = np.zeros(len(fresh), bool)
             has[doc] = True
             sigs: list[bytes | None] = [None] * len(hashes)

@@ -215,6 +215,18 @@ def test_near_duplicates(spark):
     assert next(iter(neardup._pair_rows(iter([]))), None) is None
 
 
+def test_pairs_of_a_family_in_a_third_of_the_rows_are_found(spark):
+    """Runs that a third of all rows share count as much as any other: pairs just over the threshold are proposed."""
+    rng = np.random.default_rng(11)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    frame = words(92)
+    texts = {f"f{i:03}": frame + " " + words(28) for i in range(60)} | {f"o{i:03}": words(60) for i in range(120)}
+    want = jaccard_pairs(texts, 3, 0.6)
+    assert len(want) == 60 * 59 // 2
+    got = {tuple(r) for r in neardup.similar_pairs(spark.createDataFrame(list(texts.items()), "id string, body string"), "id", "body", 0.6, 3).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want)
+
+
 def test_large_buckets_lose_no_pair(monkeypatch):
     import pyarrow as pa
 
