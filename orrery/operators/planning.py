@@ -13,6 +13,15 @@ from orrery.functions.text import normalised_name
 
 #: Words that many names end in; alone they name no company.
 MIN_ALIAS, CUTOFF, SLACK, FUZZY = 3, 0.85, 1, 5
+#: Capitalised words of filings and of questions that are no misspelt names.
+VOCABULARY = (
+    "risk risks factors item items part form annual quarterly report reports filing filings management discussion analysis "
+    "legal proceedings business financial statements compare compared china india japan korea taiwan vietnam europe america "
+    "american united states federal reserve congress sec gaap act section chips basel cecl covid ai esg january february march "
+    "april may june july august september october november december what how which why when where who whose whom comparing "
+    "summarise summarize describe explain list tell does do did is are was were has have had please give show over since about "
+    "their they them this that these those recent primary major each both"
+).split()
 
 
 def ticker_names(filings: DataFrame) -> DataFrame:
@@ -49,6 +58,23 @@ def named_companies(questions: DataFrame, question: str, text: str, aliases: Dat
     return hit.groupBy("question", "ticker").agg(F.min("at").alias("first")).withColumn("mention", F.row_number().over(Window.partitionBy("question").orderBy("first", "ticker"))).select("question", "ticker", "mention")
 
 
+def companies_or_misspelt(questions: DataFrame, question: str, text: str, aliases: DataFrame) -> DataFrame:
+    """(question, ticker, mention): as ``named_companies``; runs of up to four capitalised words in which no exact alias
+    stands are then taken as misspelt names, if they are near misses of aliases."""
+    bare = F.regexp_replace(text, "['’]s\\b", "")
+    words = F.split(F.trim(F.regexp_replace(bare, "[^A-Za-z0-9]+", " ")), " ")
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.size("w") - i + 1)), lambda n: F.struct(i.alias("at"), n.alias("n"), F.slice("w", i, n).alias("own")))))
+    s = questions.select(F.col(question).alias("question"), words.alias("w")).select("question", F.explode(spans).alias("s"))
+    s = s.select("question", "s.at", "s.n", "s.own", F.lower(F.array_join("s.own", " ")).alias("alias"))
+    hit = s.join(aliases, "alias").where("kind <> 'ticker' or length(alias) > 2").select("question", "ticker", "at", "n")
+    taken = hit.select("question", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("place")).distinct()
+    free = s.where(F.forall("own", lambda w: w.rlike("^[A-Z]")) & ~F.col("alias").isin(VOCABULARY))
+    apart = free.join(taken.withColumnRenamed("question", "q"), (F.col("question") == F.col("q")) & F.col("place").between(F.col("at"), F.col("at") + F.col("n") - 1), "left_anti")
+    near = apart.join(near_miss(apart, "alias", aliases).select(F.col("word").alias("alias"), "ticker"), "alias").select("question", "ticker", "at", "n")
+    every = hit.unionByName(near).groupBy("question", "ticker").agg(F.min("at").alias("first"))
+    return every.withColumn("mention", F.row_number().over(Window.partitionBy("question").orderBy("first", "ticker"))).select("question", "ticker", "mention")
+
+
 def near_miss(words: DataFrame, word: str, aliases: DataFrame) -> DataFrame:
     """(word, alias, ticker): the most similar alias (ratio of matching blocks of 0.85 or more) of each word of five letters
     or more, of lengths at most one apart, ties to the greater alias. Only pairs that share a run of two letters are

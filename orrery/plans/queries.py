@@ -217,6 +217,24 @@ def quota_retrieve_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quota(spark, sf_dir).groupBy("question").agg(F.count("*").alias("wanted"), F.sum(F.when(F.col("place") > 20, 1).otherwise(0)).alias("cut"))
 
 
+def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions = _questions(spark, sf_dir)
+    named = written(planning.companies_or_misspelt(questions, "question", "text", planning.alias_dictionary(_names(spark, sf_dir))), "named")
+    c = _chunks(spark, sf_dir, "text", "ticker", "source_file", "item_section", "fiscal_year", "form_type")
+    return search.retrieve_for(c, questions, named)
+
+
+@query()
+def planned_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``quota_retrieve`` with all of a question's plan: questions without companies, misspelt names, years, forms, no copies."""
+    return _retrieved(spark, sf_dir).where("place <= 20")
+
+
+@query()
+def planned_retrieve_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retrieved(spark, sf_dir).groupBy("question").agg(F.count("*").alias("wanted"), F.sum(F.when(F.col("place") > 20, 1).otherwise(0)).alias("cut"))
+
+
 _RANKED_COVER = _BASE + f", r AS (SELECT x.question, x.rank, c.* FROM ({_ranked_sql(20, False)}) x JOIN c ON c.chunk_id = x.key), census AS (SELECT ticker, count(*) AS n FROM filings WHERE coalesce(ticker, '') <> '' GROUP BY 1)"
 _COVERED = """(SELECT r.question, r.ticker, arg_min(r.company, r.rank) FILTER (WHERE r.company IS NOT NULL) AS company, count(*) AS passages, count(DISTINCT source_file) AS filings_retrieved,
     coalesce(array_to_string(list_sort(list(DISTINCT period_end) FILTER (WHERE period_end <> '')), ','), '') AS periods, coalesce(any_value(census.n), count(DISTINCT source_file)) AS filings_in_corpus

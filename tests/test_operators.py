@@ -191,6 +191,21 @@ def test_names_in_questions(spark):
     assert [(r.question, r.ticker) for r in got] == [(1, "AAPL"), (1, "TSLA"), (1, "JPM")]
 
 
+def test_retrieval_follows_the_whole_plan(spark):
+    names = spark.createDataFrame([("MSFT", "Microsoft Corp"), ("TSLA", "Tesla, Inc.")], "ticker string, company string")
+    q = spark.createDataFrame([(1, "Where is lithium scarce in 2020?"), (2, "Lithium at Micorsoft"), (3, "Annual lithium of Tesla and Microsoft")], "question int, text string")
+    named = planning.companies_or_misspelt(q, "question", "text", planning.alias_dictionary(names))
+    assert sorted(map(tuple, named.collect())) == [(2, "MSFT", 1), (3, "MSFT", 2), (3, "TSLA", 1)]
+    rows = [("m20", "MSFT", "a", 2020, "10-K", "lithium one"), ("m21", "MSFT", "b", 2021, "10-Q", "lithium two words"), ("t20", "TSLA", "c", 2020, "10-K", "lithium three words here")]
+    rows += [(f"t{i}", "TSLA", f"d{i}", 2019, "10-K", "lithium lithium copied in every filing again") for i in range(30, 40)]
+    c = spark.createDataFrame([(k, t, f, y, form, "Item 1", x) for k, t, f, y, form, x in rows], "chunk_id string, ticker string, source_file string, fiscal_year int, form_type string, item_section string, text string")
+    got = {}
+    for r in search.retrieve_for(c, q, named).orderBy("place").collect():
+        got.setdefault(r.question, []).append((r.ticker, r.key))
+    assert got[1] == [(None, "m20"), (None, "t20")] and sorted(got[2]) == [("MSFT", "m20"), ("MSFT", "m21")]
+    assert got[3] == [("TSLA", "t30"), ("TSLA", "t20"), ("MSFT", "m20")]
+
+
 # ---- ingest
 
 
