@@ -107,7 +107,15 @@ def file_diverse_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def near_dup_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _chunks(spark, sf_dir, "text").withColumnRenamed("chunk_id", "key")
-    return search.distinct_content(_bm25(spark, sf_dir, 60).join(texts, "key"), "text")
+    return search.distinct_content(_bm25(spark, sf_dir, 200).join(texts, "key"), "text")
+
+
+@query()
+def evidence_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 200 best passages without copies, spread over files to 60 and then to 20."""
+    c = _chunks(spark, sf_dir, "text", "source_file").withColumnRenamed("chunk_id", "key")
+    ranked = written(_bm25(spark, sf_dir, 200).join(c, "key"), "ranked")
+    return search.evidence(ranked, "text", "source_file", 20).select("question", "key", "source_file", "turn", "position")
 
 
 @query("SELECT md5(text) AS text_hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")

@@ -45,3 +45,23 @@ def test_entry_points(spark):
     import __spark_entry__ as e
 
     assert set(registry.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.fixture()
+def one_large_file(spark, tmp_path):
+    """One filing whose 100 copies outrank the 30 passages of other filings."""
+    hot = [(f"a{i:03}", "hot", "lithium lithium lithium prices of the same passage in every copy") for i in range(100)]
+    rest = [(f"b{i:03}", f"f{i:03}", "lithium " + " ".join(f"w{i}x{j}" for j in range(20))) for i in range(30)]
+    spark.createDataFrame([(*r, "2024-01-01") for r in hot + rest], "chunk_id string, source_file string, text string, ingested_at string").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([(100, "lithium", "user")], "id long, content string, role string").write.parquet(str(tmp_path / "messages.parquet"))
+    return str(tmp_path)
+
+
+def test_suppression_sees_past_the_copies_of_one_file(spark, one_large_file):
+    got = [r.key for r in registry.QUERIES["near_dup_suppress"](spark, one_large_file).orderBy("rank").collect()]
+    assert got == ["a000", *(f"b{i:03}" for i in range(30))]
+
+
+def test_evidence_fills_its_rows_past_one_file(spark, one_large_file):
+    got = registry.QUERIES["evidence_cut"](spark, one_large_file).orderBy("position").collect()
+    assert [r.key for r in got] == ["a000", *(f"b{i:03}" for i in range(19))]
