@@ -28,6 +28,12 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("id").alias("question"), F.col("content").alias("text"))
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users asked, of every message."""
+    m = table(spark, sf_dir, "messages", ["id", "content", "role"]).where("content is not null and lower(trim(role)) in ('user', 'human', 'customer')")
+    return m.select(F.col("id").alias("question"), F.col("content").alias("text"))
+
+
 def _ranked_sql(k: int, idf: bool) -> str:
     weight = "d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * d.length / 256))"
     more = " * ln(1 + (n.n - f.df + 0.5) / (f.df + 0.5))" if idf else ""
@@ -183,9 +189,15 @@ def named_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(spark, sf_dir)
 
 
+@query()
+def named_companies_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``named_companies`` over every user message."""
+    return planning.named_companies(_asked(spark, sf_dir), "question", "text", planning.alias_dictionary(_names(spark, sf_dir)))
+
+
 @query()
 def near_miss_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _questions(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word"))
+    words = _asked(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word"))
     return planning.near_miss(words, "word", planning.alias_dictionary(_names(spark, sf_dir)))
 
 
@@ -382,6 +394,12 @@ def capitalised_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _questions(spark, sf_dir).select("question", F.explode(F.array_distinct(T.capitalised_runs(F.col("text")))).alias("run"))
 
 
+@query()
+def capitalised_runs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``capitalised_runs`` over every user message."""
+    return _asked(spark, sf_dir).select("question", F.explode(F.array_distinct(T.capitalised_runs(F.col("text")))).alias("run"))
+
+
 @query(r"SELECT id AS message_id, figure FROM (SELECT id, unnest(list_distinct(regexp_extract_all(content, '\d+(?:\.\d+)?%?'))) AS figure FROM messages WHERE content IS NOT NULL)")
 def figures_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "messages", ["id", "content"]).where("content is not null")

@@ -65,3 +65,12 @@ def test_suppression_sees_past_the_copies_of_one_file(spark, one_large_file):
 def test_evidence_fills_its_rows_past_one_file(spark, one_large_file):
     got = registry.QUERIES["evidence_cut"](spark, one_large_file).orderBy("position").collect()
     assert [r.key for r in got] == ["a000", *(f"b{i:03}" for i in range(19))]
+
+
+def test_names_are_looked_for_in_every_user_message(spark, tmp_path):
+    spark.createDataFrame([(100, "Growth at Tesla", "user"), (101, "Profit of teslla", " User "), (102, "Debt of Tesla", "human"), (103, "Tesla Motors", "assistant"), (104, None, "user")], "id long, content string, role string").write.parquet(str(tmp_path / "messages.parquet"))
+    spark.createDataFrame([("TSLA", "Tesla, Inc.", "f1")], "ticker string, company string, source_file string").write.parquet(str(tmp_path / "filings.parquet"))
+    run = lambda name: sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert run("capitalised_runs_all") == [(100, "Growth"), (100, "Tesla"), (101, "Profit"), (102, "Debt of Tesla")]
+    assert run("named_companies_all") == [(100, "TSLA", 1), (102, "TSLA", 1)]
+    assert run("near_miss_alias") == [("tesla", "tesla", "TSLA"), ("teslla", "tesla", "TSLA")]
