@@ -382,6 +382,14 @@ def year_window_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("id").alias("message_id"), T.year_window(F.col("content"), F.lit(2025)).alias("w")).where("w is not null").select("message_id", "w.*")
 
 
+@query()
+def year_window_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``year_window_parse`` with the last n years, too, and the latest year of the corpus."""
+    latest = _chunks(spark, sf_dir, "fiscal_year").agg(F.max("fiscal_year").alias("latest"))
+    m = table(spark, sf_dir, "messages", ["id", "content"]).where("content is not null").join(F.broadcast(latest))
+    return m.select(F.col("id").alias("message_id"), T.year_window(F.col("content"), F.col("latest")).alias("w")).where("w is not null").select("message_id", "w.*")
+
+
 @query(r"""
   SELECT id AS message_id, CASE WHEN q THEN '10-Q' ELSE '10-K' END AS form_type FROM (SELECT id, regexp_matches(lower(content), '\b(10-q|quarter|quarters|quarterly)\b') AS q, regexp_matches(lower(content), '\b(10-k|annual|annually|yearly)\b') AS k FROM messages WHERE content IS NOT NULL) WHERE q <> k""")
 def form_hint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,10 @@ def test_names_are_looked_for_in_every_user_message(spark, tmp_path):
     assert run("capitalised_runs_all") == [(100, "Growth"), (100, "Tesla"), (101, "Profit"), (102, "Debt of Tesla")]
     assert run("named_companies_all") == [(100, "TSLA", 1), (102, "TSLA", 1)]
     assert run("near_miss_alias") == [("tesla", "tesla", "TSLA"), ("teslla", "tesla", "TSLA")]
+
+
+def test_last_years_end_with_the_corpus(spark, tmp_path):
+    spark.createDataFrame([(1, "sales since 2019"), (2, "the last three years"), (3, "in 2018, not the past two years, since 2020"), (4, "no year")], "id long, content string").write.parquet(str(tmp_path / "messages.parquet"))
+    spark.createDataFrame([("a", 2022, "2024-01-01"), ("b", 2027, "2024-01-01")], "chunk_id string, fiscal_year int, ingested_at string").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = sorted(map(tuple, registry.QUERIES["year_window_all"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 2019, 2027), (2, 2025, 2027), (3, 2020, 2027)]
