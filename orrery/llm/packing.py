@@ -8,7 +8,7 @@ find their container by their rank among the items of their length.
 
 Defined results: an item longer than the capacity is split into full pieces and a rest, any other is one piece; an item
 without length (null or empty text) is a piece of length 0 in container 1; copies of an item are items of their own;
-a capacity that is null or below 1 has no containers.
+a capacity that is null or below 1 has no containers; more than ``MOST_KINDS`` kinds are refused.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from orrery.llm.ordering import PART, numbered, partitioned
 from orrery.session import written
 
+#: Kinds of containers that the table of parameters may hold.
+MOST_KINDS = 1000
+
 
 def fill(target: int, counts: dict[int, int]) -> dict[int, int]:
     """The multiset of lengths, within ``counts``, with the largest sum up to ``target``; long lengths are tried first."""
@@ -79,7 +82,9 @@ def pack(items: DataFrame, key: str, size: str, kinds: DataFrame, kind: str, cap
     """(kind, container_id, key, piece, offset, n_tokens): the pieces of every item in the containers of every kind.
     ``kinds`` is a small table of names and capacities."""
     k = kinds.select(F.col(kind).alias("kind"), F.col(capacity).cast("long").alias("capacity")).where("kind is not null and capacity >= 1").distinct()
-    each = items.select(F.col(key).alias("key"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("size")).crossJoin(F.broadcast(k.limit(1000)))  # a table of parameters
+    if k.limit(MOST_KINDS + 1).count() > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
+    each = items.select(F.col(key).alias("key"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("size")).crossJoin(F.broadcast(k))
     last = F.greatest(F.ceil(F.col("size") / F.col("capacity")) - 1, F.lit(0))
     pieces = each.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
     pieces = pieces.withColumn("offset", F.col("piece") * F.col("capacity")).withColumn("length", F.least("capacity", F.col("size") - F.col("offset"))).drop("size")

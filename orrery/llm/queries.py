@@ -136,7 +136,9 @@ def p3_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    examples = table(spark, sf_dir, "subject_examples", ["subject", "text"]).limit(subjects.MOST_EXAMPLES).collect()
+    examples = table(spark, sf_dir, "subject_examples", ["subject", "text"]).limit(subjects.MOST_EXAMPLES + 1).collect()
+    if len(examples) > subjects.MOST_EXAMPLES:
+        raise ValueError(f"more than {subjects.MOST_EXAMPLES} labelled passages")
     return subjects.subjects_of(table(spark, sf_dir, "documents"), "doc_id", "text", [(r.subject, r.text) for r in examples])
 
 

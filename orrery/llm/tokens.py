@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,20 +16,23 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 @functools.lru_cache(4)
-def encoding(ranks: str, pattern: str):
+def encoding(ranks: bytes, pattern: str):
     import tiktoken
 
-    with open(ranks, "rb") as f:
-        pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=pairs, special_tokens={})
 
 
 def token_count(text: Column, ranks: str = RANKS, pattern: str = PATTERN) -> Column:
-    """The number of tokens of a text, taken whole; 0 for null and empty texts."""
+    """The number of tokens of a text, taken whole; 0 for null and empty texts. The rank file (under a megabyte) is read by
+    the driver alone and broadcast."""
+    from pyspark.sql import SparkSession
+
+    shared = SparkSession.active().sparkContext.broadcast(Path(ranks).read_bytes())
 
     @F.pandas_udf("long")
     def count(s: pd.Series) -> pd.Series:
-        e = encoding(ranks, pattern)
+        e = encoding(shared.value, pattern)
         return s.map(lambda t: len(e.encode_ordinary(t)) if t else 0).astype("int64")
 
     return count(text)

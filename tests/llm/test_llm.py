@@ -335,7 +335,7 @@ def test_mixing(spark):
     docs = [(i, "big" if i < 400 else "mid" if i < 500 else "tiny", rng.randint(5, 20), 1.0) for i in range(520)] + [(900, None, 5, 1.0), (901, "other", 5, 1.0), (902, "big", 0, None)]
     d = spark.createDataFrame(docs, "id long, source string, n long, q double")
     t = spark.createDataFrame([("big", 0.5, 2), ("mid", 0.2, 2), ("tiny", 0.2, 3), ("absent", 0.1, 9)], "source string, target_share double, max_repeats int")
-    sel, shares = mixing.mix(d, t, "id", "source", "n", "q")
+    sel, shares = mixing.mix(d, t, "id", "source", "n", "q", total_share=None)
     rows, rep = sel.collect(), {r.source: r for r in shares.collect()}
     have = collections.Counter()
     for _, s, n, _ in docs:
@@ -350,16 +350,46 @@ def test_mixing(spark):
         copies = [r.copies for r in rows if r.source == s]
         whole = min(copies) if len(copies) == len([x for x in docs if x[1] == s and x[2]]) else 0
         assert max(copies) - whole <= 1
-    again = mixing.mix(d.repartition(5), t, "id", "source", "n", "q")[0]
+    again = mixing.mix(d.repartition(5), t, "id", "source", "n", "q", total_share=None)[0]
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again.collect()))
     assert mixing.mix(d.where("false"), t, "id", "source", "n", "q")[0].count() == 0
 
 
+def test_budgets_fill_up_from_the_other_sources():
+    for seed in range(200):
+        g = random.Random(seed)
+        src = [(f"s{i}", g.choice([0.0, 0.1, 0.3, 1.5]), g.randint(1, 4), g.choice([0, 3, 40, 1000])) for i in range(g.randint(1, 6))]
+        total = g.randint(0, 6000)
+        got = dict(mixing.budgets(src, total))
+        most = {n: u * h for n, s, u, h in src if s and h}
+        assert set(got) == set(most) and all(got[n] <= most[n] for n in got)
+        assert abs(sum(got.values()) - min(total, sum(most.values()))) <= len(src)
+        level = [got[n] / s for n, s, _, _ in src if n in got and got[n] < most[n]]  # sources that are not used up keep their proportions
+        assert not level or max(level) - min(level) <= 11 and all(got[n] / s <= max(level) + 11 for n, s, _, _ in src if n in got)
+
+
+def test_scarce_sources_are_used_up_and_reported(spark):
+    d = spark.createDataFrame([(i, "big" if i < 900 else "tiny", 10, 1.0) for i in range(910)], "id long, source string, n long, q double")
+    t = spark.createDataFrame([("big", 0.5, 1), ("tiny", 0.5, 3), ("tiny", 0.4, 1), (None, 0.5, 1), ("big", None, 1)], "source string, target_share double, max_repeats int")
+    sel, shares = mixing.mix(d, t, "id", "source", "n", "q")
+    rep = {r.source: r for r in shares.collect()}
+    assert rep["tiny"].selected_tokens == 300 and rep["big"].selected_tokens == 4550 - 300
+    assert {r.copies for r in sel.collect() if r.source == "tiny"} == {3}
+    with pytest.raises(ValueError):
+        many = spark.range(mixing.MOST_TARGETS + 1).select(F.col("id").cast("string").alias("source"), F.lit(0.1).alias("target_share"), F.lit(1).alias("max_repeats"))
+        mixing.mix(d, many, "id", "source", "n", "q")
+
+
+def test_steps_of_keys_are_small_whatever_the_quality(spark):
+    e = spark.range(200_000).select(F.floor(F.log(mixing.exponential_key(F.col("id"), F.when(F.col("id") % 2 == 0, 0.25).otherwise(1e-6), 0)) * mixing.KEY_STEPS).alias("b"))
+    assert e.groupBy("b").count().agg(F.max("count")).first()[0] < 200
+
+
 def test_quality_moves_the_sample(spark):
     d = spark.range(4000).select("id", F.lit("s").alias("source"), F.lit(10).alias("n"), F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0).alias("q"))
     d = d.unionByName(spark.range(4000, 4010).select("id", F.lit("t").alias("source"), F.lit(10).alias("n"), F.lit(1.0).alias("q")))
     t = spark.createDataFrame([("s", 0.99, 1), ("t", 0.01, 1)], "source string, target_share double, max_repeats int")
-    got = mixing.mix(d, t, "id", "source", "n", "q")[0].where("source = 's'").collect()
+    got = mixing.mix(d, t, "id", "source", "n", "q", total_share=None)[0].where("source = 's'").collect()
     even = sum(r.key % 2 == 0 for r in got)
     assert 900 <= len(got) <= 1000 and even > 0.7 * len(got)
 
