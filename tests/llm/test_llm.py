@@ -227,6 +227,39 @@ def test_pairs_of_a_family_in_a_third_of_the_rows_are_found(spark):
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_exact_links_and_what_sampling_loses(spark):
+    texts = near_texts()
+    df = spark.createDataFrame([*texts.items(), ("again", texts["a001"]), ("null", None)], "id string, body string")
+    links = neardup.exact_links(df, "id", "body", 0.6, 3)
+    keys = {shingles.text_hash(shingles.clean(t, NORM)): i for i, t in reversed(texts.items())}
+    exact = {tuple(sorted((keys[r.a], keys[r.b]))) for r in links.collect()}
+    assert exact == {p for p in jaccard_pairs(texts, 3, 0.6) if set(p) <= set(keys.values())}
+    found = {tuple(sorted((keys[r.a], keys[r.b]))) for r in neardup.similar_texts(df, "id", "body", 0.6, 3)[1].collect()}
+    assert found <= exact and len(found) >= 0.98 * len(exact)
+
+
+def test_copies_are_paired_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "COPIES", 7)
+    df = spark.createDataFrame([(i, "one two three four five six") for i in range(40)], "id long, body string")
+    got = [tuple(r) for r in neardup.similar_pairs(df, "id", "body").collect()]
+    assert sorted(got) == [(i, j) for i in range(40) for j in range(i + 1, 40)]
+
+
+def test_hot_buckets_are_joined_by_blocks(spark):
+    sig = np.zeros(neardup.SAMPLES, np.uint16).tobytes()
+    got = {tuple(r) for r in neardup.proposed_pairs(spark.createDataFrame([(i, sig) for i in range(450)], "h long, sig binary")).collect()}
+    assert got == {(i, j) for i in range(450) for j in range(i + 1, 450)}
+
+
+def test_large_batches_are_parted(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(neardup, "ROWS", 7)
+    b = pa.RecordBatch.from_pydict({"x": list(range(30))})
+    out = list(neardup._rows(iter([b, b.slice(0, 2)])))
+    assert max(x.num_rows for x in out) <= 7 and sum((x.column(0).to_pylist() for x in out), []) == [*range(30), 0, 1]
+
+
 def test_large_buckets_lose_no_pair(monkeypatch):
     import pyarrow as pa
 
