@@ -1,16 +1,19 @@
 """Problem 8: the subject areas that a document's sentences deal with.
 
-Each subject has an interpolated model of words and bigrams, trained on its labelled passages; the background is the mean of
-all subjects' models and of all sentences of the corpus. Where the models agree on an n-gram
-a subject's model backs off to the background; where the n-gram is concentrated in one subject it keeps its own estimate. A
-sentence deals with the subject whose model has the lowest per-token cross-entropy, if it lies below the background's by
-more than a threshold. Models are trained again on all sentences of the corpus as labelled by the models before, so that
-words the passages lack are learned from their company. The threshold is calibrated: the valley between the two heaps of the gains of all sentences, but not far below or above what nearly all
-labelled sentences reach. A document has each subject that at least a share of its sentences deal with.
+Each subject has an interpolated bigram model for each language: the probability of a word after the one before it, from the
+subject's sentences as far as they hold the word before, interpolated with that of the word alone and with the background's;
+the background is the interpolated bigram model of all sentences of the corpus. Where neither the bigram nor the word is
+concentrated in a subject's sentences, all models are tied and have the background's probability. A sentence deals with every subject
+under whose model its cross-entropy lies below the background's by more than a threshold, in nats a token. Models are
+trained on the labelled passages and then again on all sentences of the corpus, each under the subject of the lowest
+cross-entropy if the models before are sure of it, so that words the passages lack are learned from their company. The
+threshold is calibrated: the valley between the two heaps of the gains of all sentences, but not far below or above what
+nearly all labelled sentences reach. A document has each subject that at least a share of its sentences deal with.
 
 Counts are kept in hashed tables of fixed size, over all documents; only these tables and a histogram come to the driver.
-Defined results: null and empty texts and texts without words have no sentences and no subjects; copies are scored alike;
-texts of any length are read whole; without labelled passages there are no subjects.
+Every bigram of the corpus has been counted, so a model is one table of gains by the bigram's place. Defined results: null
+and empty texts and texts without words have no sentences and no subjects; copies are scored alike; texts of any length are
+read whole; without labelled passages there are no subjects.
 """
 
 from __future__ import annotations
@@ -26,14 +29,16 @@ from pyspark.sql import functions as F
 from orrery.llm import shingles
 from orrery.llm.neardup import _rows
 from orrery.llm.replies import FUNCTION_WORDS
-
-#: Places of each table of counts, an eighth for each language; weights of words and bigrams in a model.
-PLACES = 1 << 19
-WORD_WEIGHT, BIGRAM_WEIGHT = 0.1, 0.9
-#: Share of an n-gram's probability in all models from which on it is a subject's own, and the counts added against chance.
-CONCENTRATED, AGAINST_CHANCE = 0.5, 0.6
-#: The weight of the corpus's background beside that of a subject in an n-gram's probability in all models.
-BACKGROUND_WEIGHT = 2.0
+from orrery.session import written
+
+#: Places of the table of words and of the table of bigrams; the first eight of words count the words of each language.
+PLACES = 1 << 20
+#: Share of a bigram's own frequency in the background, of the background in a subject's model, the most that a subject's
+#: own bigrams weigh against its words, and the count of the word before at which they weigh half of that.
+OWN, BACKGROUND, TRUST, ENOUGH = 0.1, 0.3, 0.95, 0.3
+#: Share of an n-gram's probability in all models from which on it tells of a subject, the counts added against chance, and
+#: the weight of the corpus beside that of a subject.
+CONCENTRATED, AGAINST_CHANCE, CORPUS_WEIGHT = 0.5, 0.6, 2.0
 SHARE, ROUNDS = 0.25, 3
 #: Labelled passages that are read, at most (a table of parameters).
 MOST_EXAMPLES = 100_000
@@ -41,10 +46,11 @@ MOST_EXAMPLES = 100_000
 MARGINS = (0.5, 0.1, 0.03)
 #: Edges of the histogram of gains, in nats a token.
 EDGES = np.linspace(0.0, 2.0, 201)
+#: Sentences whose best gain is under this share of the lowest threshold are not kept between scoring and assigning.
+LEAST_KEPT = 0.5
 
 _BASE, _INVERSE = shingles._BASE, shingles._INVERSE
 _NUMBER, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-_OWN = PLACES // 8
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 _SPACE = np.zeros(256, bool)
@@ -69,11 +75,12 @@ def _hashed(words: Sequence[bytes]) -> np.ndarray:
     return _words(buf)[2]
 
 
-def grams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sentence, word, bigram, doc): for each word its sentence, counted through all texts, and the places of the word and
-    of the word with the one before it in its sentence, in the part of the sentence's language (by its frequent words); and
-    the text of each sentence. Sentences end at line breaks, and at a
-    full stop, question or exclamation mark before white space that no small letter follows."""
+def grams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence, context, word, bigram, doc): for each word its sentence, counted through all texts, and the places of the
+    word before it in its sentence (or of the sentence's start), of the word, and of both, each told apart by the sentence's
+    language (by its frequent words), which stands in the upper bits of the context; and the text of each sentence.
+    Sentences end at line breaks, and at a full stop, question or exclamation mark before white space that no small letter
+    follows."""
     out, docs, first, base = [], [], 0, 0
     raw = [(t or "").encode("utf-8", "replace").replace(b"\x00", b" ") for t in texts]
     while first < len(raw):
@@ -81,14 +88,14 @@ def grams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         while last < len(raw) and (last == first or size + len(raw[last]) < shingles.SLAB):
             size += len(raw[last]) + 1
             last += 1
-        s, w, b, d = _slab(raw[first:last])
-        out.append((s + base, w, b))
+        s, *places, d = _slab(raw[first:last])
+        out.append((s + base, *places))
         docs.append(d + first)
         base += len(d)
         first = last
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z, z, z
+        return z, z, z, z, z
     return *(np.concatenate(x) for x in zip(*out)), np.concatenate(docs)
 
 
@@ -108,7 +115,7 @@ def _slab(raw: Sequence[bytes]) -> tuple[np.ndarray, ...]:
     start, _, w = _words(buf)
     if not len(start):
         z = np.zeros(0, np.int64)
-        return z, z, z, z
+        return z, z, z, z, z
     stops = np.flatnonzero(_STOP[buf[:-2]] & _SPACE[buf[1:-1]] & ~_LOWER[buf[2:]])
     ends = np.sort(np.concatenate([stops, np.flatnonzero((buf == 10) | (buf == 0))]))
     piece = np.searchsorted(ends, start)
@@ -120,49 +127,58 @@ def _slab(raw: Sequence[bytes]) -> tuple[np.ndarray, ...]:
     at = np.minimum(np.searchsorted(known, w), len(known) - 1)
     told = np.flatnonzero(known[at] == w)
     votes = np.bincount(sentence[told] * 8 + which[at[told]], minlength=8 * len(doc)).reshape(-1, 8)
-    language = np.where(votes.max(axis=1) > 0, votes.argmax(axis=1), 0)[sentence] * _OWN
+    language = np.where(votes.max(axis=1) > 0, votes.argmax(axis=1), 0)[sentence].astype(np.uint64)
     before = np.concatenate([[_START], w[:-1]])
     before[fresh] = _START
     with np.errstate(over="ignore"):
-        both = shingles.mix(w * np.uint64(3) + before * np.uint64(0x9E3779B97F4A7C15))
-    place = lambda v: (v & np.uint64(_OWN - 1)).astype(np.int64) + language
-    return sentence, place(w), place(both), doc
+        salt = shingles.mix(language + np.uint64(1))
+        place = lambda v: (np.uint64(8) + shingles.mix(v + salt) % np.uint64(PLACES - 8)).astype(np.int64)
+        both = (shingles.mix(w * np.uint64(3) + before * np.uint64(0x9E3779B97F4A7C15) + salt) % np.uint64(PLACES)).astype(np.int64)
+    return sentence, place(before) | language.astype(np.int64) << 32, place(w), both, doc
 
 
 class Models:
-    """For each place of a word or bigram the subject whose own it is (-1 for none) and the subject's gain in probability
-    over the background of its language, weighted. ``counts`` has a row for each place of words, then of bigrams, and a column for each
-    subject; ``background`` has the counts of all sentences of the corpus."""
-
-    def __init__(self, counts: np.ndarray, background: np.ndarray) -> None:
-        self.subjects = counts.shape[1]
-        self.owner, self.gain = [], []
-        for c, b, weight in zip(counts.reshape(2, PLACES, -1), background.reshape(2, PLACES), (WORD_WEIGHT, BIGRAM_WEIGHT)):
-            c, b = c.reshape(8, _OWN, -1), b.reshape(8, _OWN)
-            p = (c / np.maximum(c.sum(axis=1, keepdims=True), 1)).reshape(PLACES, -1)
-            b, c = (b / np.maximum(b.sum(axis=1, keepdims=True), 1)).ravel(), c.reshape(PLACES, -1)
-            best, at = p.argmax(axis=1), np.arange(PLACES)
-            every = p.sum(axis=1) + BACKGROUND_WEIGHT * b
-            share = p[at, best] / np.maximum(every, 1e-30)
-            sure = share * c[at, best] / (c[at, best] + AGAINST_CHANCE) >= CONCENTRATED
-            self.owner.append(np.where(sure, best, -1).astype(np.int8))
-            self.gain.append(np.where(sure, weight * np.maximum(share * (self.subjects + BACKGROUND_WEIGHT) - 1, 0), 0).astype(np.float32))
-
-    def gains(self, sentence: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """``gain``: for each place of a bigram and each subject, how far the subject's log probability of the word lies over the
+    background's. ``counts`` has a row for each place of words, then of bigrams, and a column for each subject; ``background``
+    has the counts of all sentences of the corpus, ``pairs`` the (bigram, language, context, word) that stand in it."""
+
+    def __init__(self, counts: np.ndarray, background: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> None:
+        self.gain = np.zeros((PLACES, counts.shape[1]), np.float32)
+        bigram, language, context, word = pairs
+        b, c = background, counts
+        common = OWN * b[PLACES + bigram] / np.maximum(b[context], 1) + (1 - OWN) * b[word] / np.maximum(b[language], 1)
+        common = np.clip(common, 1e-9, 1)
+        told = self._told(c[PLACES + bigram], b[PLACES + bigram], c[language], b[language])
+        told = np.where(told >= 0, told, self._told(c[word], b[word], c[language], b[language]))
+        for j in range(c.shape[1]):
+            at = np.flatnonzero(told == j)
+            h, w, l, g = context[at], word[at], language[at], bigram[at]
+            after = np.maximum(c[h, j], c[PLACES + g, j])
+            own = c[w, j] / np.maximum(c[l, j], 1)
+            own = own + TRUST * after / (after + ENOUGH) * (c[PLACES + g, j] / np.maximum(after, 1) - own)
+            self.gain[g, j] = np.log(BACKGROUND + (1 - BACKGROUND) * own / common[at])
+
+    @staticmethod
+    def _told(c: np.ndarray, b: np.ndarray, all_c: np.ndarray, all_b: np.ndarray) -> np.ndarray:
+        """The subject in whose sentences alone an n-gram is frequent, -1 if there is none: there all models are tied."""
+        p = c / np.maximum(all_c, 1)
+        best, at = p.argmax(axis=1), np.arange(len(p))
+        share = p[at, best] / np.maximum(p.sum(axis=1) + CORPUS_WEIGHT * b / np.maximum(all_b, 1), 1e-30)
+        return np.where(share * c[at, best] / (c[at, best] + AGAINST_CHANCE) >= CONCENTRATED, best, -1)
+
+    def gains(self, sentence: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """How far each subject's cross-entropy lies below the background's, in nats a token, by sentence."""
-        n = int(sentence[-1]) + 1 if len(sentence) else 0
-        a, b, x, y = self.owner[0][word], self.owner[1][pair], self.gain[0][word], self.gain[1][pair]
-        both = a == b
-        out = np.zeros(n * self.subjects)
-        for own, amount in ((a, np.log1p(np.where(both, x + y, x))), (np.where(both, -1, b), np.log1p(y))):
-            at = np.flatnonzero(own >= 0)
-            out += np.bincount(sentence[at] * self.subjects + own[at], amount[at], minlength=len(out))
-        return out.reshape(n, self.subjects) / np.maximum(np.bincount(sentence, minlength=n), 1)[:, None]
+        if not len(sentence):
+            return np.zeros((0, self.gain.shape[1]))
+        starts = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
+        return np.add.reduceat(self.gain[pair], starts, axis=0) / np.diff(np.append(starts, len(sentence)))[:, None]
 
 
-def _by_label(word: np.ndarray, pair: np.ndarray, label: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by place and label, as sorted numbers place * columns + label and how often each occurs."""
-    return np.unique(np.concatenate([word, pair + PLACES]) * columns + np.tile(label, 2), return_counts=True)
+def _by_label(context: np.ndarray, word: np.ndarray, pair: np.ndarray, first: np.ndarray, label: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by place and label, as sorted numbers place * columns + label and how often each occurs: of words (a sentence's
+    start is one), of the words of each language, and of bigrams. ``first`` marks the words that begin a sentence."""
+    places = np.concatenate([word, context[first] & 0xFFFFFFFF, context >> 32, pair + PLACES])
+    return np.unique(places * columns + np.concatenate([label, label[first], label, label]), return_counts=True)
 
 
 def _table(at: np.ndarray, n: np.ndarray, columns: int) -> np.ndarray:
@@ -171,6 +187,29 @@ def _table(at: np.ndarray, n: np.ndarray, columns: int) -> np.ndarray:
     return out.reshape(2 * PLACES, columns)
 
 
+def _firsts(sentence: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], sentence[1:] != sentence[:-1]]) if len(sentence) else np.zeros(0, bool)
+
+
+def _background(df: DataFrame, text: str) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """The counts of all rows by place, and of each place of bigrams the least (language, context, word) that stands in it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _rows(batches):
+            s, c, w, p, _ = grams(b.column(0).to_pylist())
+            at, n = _by_label(c, w, p, _firsts(s), np.zeros(len(s), np.int64), 1)
+            pair, i = np.unique(p, return_index=True)
+            told = np.full(len(at), -1, np.int64)
+            told[np.searchsorted(at, pair + PLACES)] = (c[i] >> 32 << 48) | (c[i] & 0xFFFFFFFF) << 24 | w[i]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int64()), pa.array(told, pa.int64())], names=["place", "n", "told"])
+
+    counted = df.select(text).mapInArrow(count, "place int, n long, told long").groupBy("place").agg(F.sum("n").alias("n"), F.min("told").alias("told")).toPandas()
+    place, told = counted.place.to_numpy(), counted.told.to_numpy()
+    table, is_pair = _table(place, counted.n.to_numpy(), 1)[:, 0], place >= PLACES
+    told, low = told[is_pair], (1 << 24) - 1
+    return table, (place[is_pair].astype(np.int64) - PLACES, told >> 48, told >> 24 & low, told & low)
+
+
 def _summed(df: DataFrame, text: str, columns: int, of: Callable[[Sequence[str | None]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The sum over all rows of the counts that ``of(texts)`` gives for a batch, as a table of 2 * PLACES rows."""
 
@@ -183,8 +222,8 @@ def _summed(df: DataFrame, text: str, columns: int, of: Callable[[Sequence[str |
     return _table(counted.place.to_numpy(), counted.n.to_numpy(), columns)
 
 
-def accepted(gain: np.ndarray, threshold: float) -> np.ndarray:
-    """The subject of each sentence by its gains, -1 for none."""
+def likeliest(gain: np.ndarray, threshold: float) -> np.ndarray:
+    """The subject of the lowest cross-entropy of each sentence, -1 where it gains no more than the threshold."""
     best = gain.argmax(axis=1) if len(gain) else np.zeros(0, np.int64)
     return np.where(gain.max(axis=1, initial=-np.inf) > threshold, best, -1)
 
@@ -200,59 +239,74 @@ def valley(counts: np.ndarray, least: float, most: float) -> float:
     return float(middle[low[len(low) // 2]])
 
 
-def train(documents: DataFrame, text: str, examples: Sequence[tuple[str, str]], rounds: int = ROUNDS) -> tuple[list[str], Models, float]:
-    """(subjects, models, threshold) from all documents and the labelled passages (subject, text)."""
+def learned(models: Models, texts: Sequence[str | None], margin: float, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of the sentences that the models are sure of, under the subject of each."""
+    s, c, w, p, _ = grams(texts)
+    label = likeliest(models.gains(s, p), margin)[s]
+    sure = label >= 0
+    return _by_label(c[sure], w[sure], p[sure], _firsts(s)[sure], label[sure], columns)
+
+
+def train(documents: DataFrame, text: str, examples: Sequence[tuple[str, str]], rounds: int = ROUNDS) -> tuple[list[str], Models, np.ndarray]:
+    """(subjects, models, gains of the labelled sentences) from all documents and the labelled passages (subject, text)."""
     names = sorted({s for s, _ in examples})
     column = {s: i for i, s in enumerate(names)}
-    sentence, word, pair, doc = grams([t for _, t in examples])
+    sentence, context, word, pair, doc = grams([t for _, t in examples])
     subject = np.array([column[s] for s, _ in examples])[doc]
-    labelled = _table(*_by_label(word, pair, subject[sentence], len(names)), len(names))
-    background = _summed(documents, text, 1, lambda texts: _by_label(*(g := grams(texts))[1:3], np.zeros(len(g[0]), np.int64), 1))[:, 0]
-    models, sc = Models(labelled, background), documents.sparkSession.sparkContext
+    labelled = _table(*_by_label(context, word, pair, _firsts(sentence), subject[sentence], len(names)), len(names))
+    background, pairs = _background(documents, text)
+    new = np.unique(pair[~np.isin(pair, pairs[0])], return_index=True)  # bigrams of the passages that the corpus lacks
+    at = np.flatnonzero(~np.isin(pair, pairs[0]))[new[1]]
+    pairs = tuple(np.concatenate([x, y]) for x, y in zip(pairs, (pair[at], context[at] >> 32, context[at] & 0xFFFFFFFF, word[at])))
+    background = background + labelled.sum(axis=1)
+    models, sc = Models(labelled, background, pairs), documents.sparkSession.sparkContext
     for r in range(rounds):
-        known = models.gains(sentence, word, pair)[np.arange(len(subject)), subject]
+        known = models.gains(sentence, pair)[np.arange(len(subject)), subject]
         shared, margin = sc.broadcast(models), max(float(np.quantile(known, MARGINS[min(r, len(MARGINS) - 1)])), 0.05)
-
-        def learn(texts: Sequence[str | None]) -> np.ndarray:
-            s, w, p, _ = grams(texts)
-            label = accepted(shared.value.gains(s, w, p), margin)[s]
-            return _by_label(w[label >= 0], p[label >= 0], label[label >= 0], len(names))
-
-        models = Models(_summed(documents, text, len(names), learn) + labelled, background)
-    known = models.gains(sentence, word, pair)[np.arange(len(subject)), subject]
-    shared = sc.broadcast(models)
-
-    def heap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(EDGES) - 1, np.int64)
-        for b in _rows(batches):
-            gain = shared.value.gains(*grams(b.column(0).to_pylist())[:3]).max(axis=1, initial=0)
-            n += np.histogram(np.clip(gain, EDGES[0], EDGES[-1]), EDGES)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)), pa.int32()), pa.array(n)], names=["bin", "n"])
-
-    counts = np.zeros(len(EDGES) - 1)
-    for row in documents.select(text).mapInArrow(heap, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
-        counts[row.bin] = row.n
-    return names, models, valley(counts, 0.6 * (most := float(np.quantile(known, 0.05))), most)
+        models = Models(_summed(documents, text, len(names), lambda texts: learned(shared.value, texts, margin, len(names))) + labelled, background, pairs)
+        shared.unpersist()
+    return names, models, models.gains(sentence, pair)[np.arange(len(subject)), subject]
 
 
 def subjects_of(documents: DataFrame, key: str, text: str, examples: Sequence[tuple[str, str]], share: float = SHARE) -> DataFrame:
     """(key, subject, share): one row for each subject that at least ``share`` of the document's sentences deal with.
-    ``examples`` is the small table of labelled passages, as rows (subject, text)."""
+    ``examples`` is the small table of labelled passages, as rows (subject, text). Documents are scored once: the gains
+    of the sentences that may pass are written, a few bytes a sentence, and the threshold, which needs them all, is applied
+    to what was written."""
     kind = documents.schema[key].dataType.simpleString()
     pairs = [(s, t) for s, t in examples if s is not None and t]
     if not pairs:
         return documents.select(F.col(key).alias("key"), F.lit("").alias("subject"), F.lit(0.0).alias("share")).where("false")
-    names, models, threshold = train(documents, text, pairs)
-    shared = documents.sparkSession.sparkContext.broadcast(models)
+    names, models, known = train(documents, text, pairs)
+    most = float(np.quantile(known, 0.05))
+    least = max(0.6 * most, float(EDGES[1]))
+    shared, step = documents.sparkSession.sparkContext.broadcast(models), float(EDGES[1] - EDGES[0])
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each text its number of sentences, and of each that may pass its gains in steps of the histogram, by subject."""
         for b in _rows(batches):
-            s, w, p, doc = grams(b.column(1).to_pylist())
-            label = accepted(shared.value.gains(s, w, p), threshold)
-            per = np.zeros((b.num_rows, len(names)))
-            np.add.at(per, (doc[label >= 0], label[label >= 0]), 1)
-            part = per / np.maximum(np.bincount(doc, minlength=b.num_rows), 1)[:, None]
-            i, j = np.nonzero(part >= share - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), pa.array([names[x] for x in j], pa.string()), pa.array(part[i, j])], names=["key", "subject", "share"])
-
-    return documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(assign, f"key {kind}, subject string, share double")
+            s, _, _, p, doc = grams(b.column(1).to_pylist())
+            gain = shared.value.gains(s, p)
+            bins = np.clip(gain / step, -1, len(EDGES) - 2).astype(np.int16)
+            i, j = np.nonzero(gain > LEAST_KEPT * least)
+            order = np.argsort(doc[i], kind="stable")
+            i, j = i[order], j[order]
+            ends = np.searchsorted(doc[i], np.arange(b.num_rows + 1)).astype(np.int32)
+            best = np.zeros(len(gain), bool)
+            best[i] = True
+            top = (j == gain[i].argmax(axis=1)) if len(i) else np.zeros(0, bool)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (j.astype(np.int8), bins[i, j], top)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.bincount(doc, minlength=b.num_rows), pa.int32()), *lists], names=["key", "n", "subject", "bin", "top"])
+
+    scored = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(score, f"key {kind}, n int, subject array<byte>, bin array<short>, top array<boolean>")
+    scored = written(scored.where("n > 0 and size(subject) > 0"), "gains")
+    heap = scored.select(F.explode(F.arrays_zip("bin", "top")).alias("x")).where("x.top").groupBy("x.bin").agg(F.count("*").alias("n")).collect()  # a row a bin
+    counts = np.zeros(len(EDGES) - 1)
+    for row in heap:
+        counts[max(row.bin, 0)] += row.n
+    passed = int(np.ceil(valley(counts, least, most) / step - 1e-9))
+    each = F.array_distinct(F.transform(F.filter(F.arrays_zip("subject", "bin"), lambda x: x["bin"] >= passed), lambda x: x["subject"]))
+    times = lambda s: F.size(F.filter(F.arrays_zip("subject", "bin"), lambda x: (x["bin"] >= passed) & (x["subject"] == s)))
+    rows = scored.select("key", "n", F.explode(F.transform(each, lambda s: F.struct(s.alias("s"), times(s).alias("m")))).alias("x"))
+    part = F.col("x.m") / F.col("n")
+    return rows.where(part >= share - 1e-9).select("key", F.element_at(F.array(*map(F.lit, names)), F.col("x.s").cast("int") + 1).alias("subject"), part.alias("share"))
