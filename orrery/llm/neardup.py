@@ -6,7 +6,7 @@ can fall below the plain one that is verified, whatever stands in the other rows
 are common and all others rare still has 0.577. Improved consistent weighted sampling gives each text
 ``SAMPLES`` values, any of which two texts share with the probability of their weighted similarity; ``BANDS`` bands of
 ``PER_BAND`` values propose pairs; pairs whose values agree too seldom are left out; the rest are verified on their whole
-shingle sets. By simulation 0.992 of the pairs at a weighted similarity of 0.6 are proposed, 0.999 at 0.65, 0.98 at 0.577.
+shingle sets. By simulation 0.992 of the pairs at a weighted similarity of 0.6 are proposed, 0.999 at 0.65, 0.985 at 0.577.
 ``exact_links`` is the exact way (a join on the rarest shingles), against which recall is measured.
 
 Exact copies of a text are one text until the end, so a text that stands in a third of all rows costs one. Buckets larger
@@ -33,13 +33,13 @@ from orrery.session import written
 DF_SIZE = 1 << 17
 #: The greatest weight of a shingle over the least.
 SPREAD = 1.1
-SAMPLES, PER_BAND, BANDS = 80, 5, 96
+SAMPLES, PER_BAND, BANDS = 150, 6, 150
 #: Least share of the samples on which a proposed pair must agree to be verified; it lies five standard deviations
 #: below a weighted similarity of 0.577.
-LEAST_AGREEMENT = 0.28
+LEAST_AGREEMENT = 0.36
 BUCKET = 200
 #: Entries of a part of the buckets, and entries held at once where one part has more.
-PART_ENTRIES, HELD = 1_000_000, 4_000_000
+PART_ENTRIES, HELD = 400_000, 4_000_000
 #: Copies of a text that are paired in one group.
 COPIES = 1000
 #: Rows of texts taken at a time.
@@ -85,9 +85,9 @@ def shingle_weights(df: DataFrame, text: str, norm: Normaliser, k: int) -> np.nd
 
 
 def weighted_samples(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs: int) -> np.ndarray:
-    """Improved consistent weighted sampling: SAMPLES values of 16 bits for each of ``docs`` weighted sets, given as sorted
+    """Improved consistent weighted sampling: SAMPLES values of 8 bits for each of ``docs`` weighted sets, given as sorted
     (doc, shingle, weight). A sample is told by the logarithm of its least ``a``, which depends on shingle and step only."""
-    out = np.zeros((docs, SAMPLES), np.uint16)
+    out = np.zeros((docs, SAMPLES), np.uint8)
     if not len(doc):
         return out
     starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
@@ -105,7 +105,7 @@ def weighted_samples(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, d
         beta = part(h, 42)
         a = np.log(c) - r * (np.floor(logw / r + beta) - beta + 1)
         least = np.minimum.reduceat(a.astype(np.float32)[at], starts)
-        out[present, k] = (mix(least.view(np.uint32).astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+        out[present, k] = (mix(least.view(np.uint32).astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
     return out
 
 
@@ -147,22 +147,21 @@ def _band_rows(parts: int):
     bands = _bands()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Bucket entries by part: of each entry 32 bits of the bucket and the place of its text in ``texts``."""
+        """Bucket entries of texts (id, sig) by part: of each entry 32 bits of the bucket and the last 16 bits of the text's
+        id, the rest of which the entries of a row share."""
         for b in _rows(batches):
-            sig, h = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, SAMPLES), b.column(0).to_numpy()
-            value = np.zeros((len(h), len(bands)), np.uint64)
+            sig, ids = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, SAMPLES), b.column(0).to_numpy()
+            value = np.zeros((len(ids), len(bands)), np.uint64)
             for i in range(PER_BAND):
-                value = mix(value + sig[:, bands[:, i]] + np.uint64(1))
-            key = mix(value + np.arange(1, len(bands) + 1, dtype=np.uint64)).ravel()
-            part = (key % np.uint64(parts)).astype(np.int32)
-            at = np.argsort(part, kind="stable")
-            doc, bucket = (at // len(bands)).astype(np.int32), (key[at] >> np.uint64(32)).astype(np.uint32)
-            names, starts = np.unique(part[at], return_index=True)
-            ends, out = np.append(starts[1:], len(at)), []
-            for lo, hi in zip(starts, ends):
-                own, local = np.unique(doc[lo:hi], return_inverse=True)
-                out.append((bucket[lo:hi].tobytes(), local.astype(np.uint16).tobytes(), h[own].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array(x, pa.binary()) for x in zip(*out))], names=["part", "bucket", "place", "texts"])
+                value = value << np.uint64(8) | sig[:, bands[:, i]]
+            key = mix(value * np.uint64(len(bands)) + np.arange(len(bands), dtype=np.uint64)).ravel()
+            part, base = (key % np.uint64(parts)).astype(np.int64), np.repeat(ids >> 16, len(bands))
+            at = np.lexsort((base, part))
+            part, base, key, place = part[at], base[at], (key[at] >> np.uint64(32)).astype(np.uint32), (np.repeat(ids, len(bands))[at] & 0xFFFF).astype(np.uint16)
+            starts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (base[1:] != base[:-1])]))
+            ends = np.append(starts[1:], len(at))
+            out = [[x[lo:hi].tobytes() for lo, hi in zip(starts, ends)] for x in (key, place)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), *(pa.array(x, pa.binary()) for x in out), pa.array(base[starts] << 16)], names=["part", "bucket", "place", "base"])
 
     return rows
 
@@ -224,12 +223,12 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
     for batch in batches:
-        for p, bucket, place, texts in zip(*(c.to_pylist() for c in batch.columns)):
+        for p, bucket, place, base in zip(*(c.to_pylist() for c in batch.columns)):
             if p != part:
                 close(True)
                 part = p
                 blocks.clear()
-            held.append((np.frombuffer(bucket, np.uint32), np.frombuffer(texts, np.int64)[np.frombuffer(place, np.uint16)]))
+            held.append((np.frombuffer(bucket, np.uint32), np.frombuffer(place, np.uint16).astype(np.int64) + base))
             size += len(held[-1][0])
             if size > HELD:
                 close(False)
@@ -239,11 +238,10 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def proposed_pairs(signed: DataFrame) -> DataFrame:
-    """(a, b), a < b: texts that share a bucket of some band, once each."""
-    rows = signed.where("sig is not null").select("h", "sig")
-    parts = max(16, rows.count() * BANDS // PART_ENTRIES)
-    entries = rows.mapInArrow(_band_rows(parts), "part int, bucket binary, place binary, texts binary")
+def proposed_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b), a < b: the ids of texts (id, sig) that share a bucket of some band, once each."""
+    parts = texts.count() * BANDS // PART_ENTRIES + 1
+    entries = texts.select("id", "sig").mapInArrow(_band_rows(parts), "part int, bucket binary, place binary, base long")
     found = entries.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_pair_rows, "a long, b long, bucket long, block int, members array<long>")
     found = written(found.distinct(), "proposed")
     hot = found.where("block is not null")
@@ -260,7 +258,7 @@ def proposed_pairs(signed: DataFrame) -> DataFrame:
 def _agreement(a: str, b: str):
     @F.pandas_udf("float")
     def agree(x: pd.Series, y: pd.Series) -> pd.Series:
-        p, q = (np.frombuffer(b"".join(v), np.uint16).reshape(-1, SAMPLES) for v in (x, y))
+        p, q = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, SAMPLES) for v in (x, y))
         return pd.Series((p == q).mean(axis=1, dtype=np.float32))
 
     return agree(a, b)
@@ -273,12 +271,13 @@ def similar_texts(df: DataFrame, key: str, text: str, threshold: float = 0.8, k:
     df = df.where(F.col(key).isNotNull())
     norm = normaliser or normaliser_for(df, [text])
     signed = written(signatures(df, key, text, norm, k), "signed")
-    pairs = proposed_pairs(signed)
-    sig = signed.where("sig is not null").groupBy("h").agg(F.first("sig").alias("sig"), F.min("key").alias("key"))
-    near = pairs.join(sig.select(F.col("h").alias("a"), F.col("sig").alias("p")), "a").join(sig.select(F.col("h").alias("b"), F.col("sig").alias("q")), "b")
-    near = written(near.where(_agreement("p", "q") >= LEAST_AGREEMENT).select("a", "b"), "near")
-    ids = near.select(F.col("a").alias("h")).unionAll(near.select(F.col("b").alias("h"))).distinct()
-    wanted = written(ids.join(sig.select("h", "key"), "h").select("h", "key"), "wanted")
+    texts = signed.where("sig is not null").groupBy("h").agg(F.first("sig").alias("sig"), F.min("key").alias("key"))
+    texts = written(texts.withColumn("id", F.monotonically_increasing_id()), "texts")  # ids are settled by being written
+    pairs, of = proposed_pairs(texts), lambda a: texts.select(F.col("id").alias(a), F.struct("h", "key").alias(f"t{a}"), F.col("sig").alias(f"s{a}"))
+    near = pairs.join(of("a"), "a").join(of("b"), "b").where(_agreement("sa", "sb") >= LEAST_AGREEMENT).select("ta", "tb")
+    near = written(near, "near")
+    wanted = written(near.select(F.col("ta").alias("t")).unionAll(near.select("tb")).distinct().select("t.h", "t.key"), "wanted")
+    near = near.select(F.least("ta.h", "tb.h").alias("a"), F.greatest("ta.h", "tb.h").alias("b"))
     sets = _sets(df, key, text, norm, k, wanted)
     verified = near.join(sets.select(F.col("h").alias("a"), F.col("s").alias("p")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("q")), "b")
     shared = F.size(F.array_intersect("p", "q"))

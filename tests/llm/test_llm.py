@@ -246,8 +246,8 @@ def test_copies_are_paired_in_parts(spark, monkeypatch):
 
 
 def test_hot_buckets_are_joined_by_blocks(spark):
-    sig = np.zeros(neardup.SAMPLES, np.uint16).tobytes()
-    got = {tuple(r) for r in neardup.proposed_pairs(spark.createDataFrame([(i, sig) for i in range(450)], "h long, sig binary")).collect()}
+    sig = np.zeros(neardup.SAMPLES, np.uint8).tobytes()
+    got = {tuple(r) for r in neardup.proposed_pairs(spark.createDataFrame([(i, sig) for i in range(450)], "id long, sig binary")).collect()}
     assert got == {(i, j) for i in range(450) for j in range(i + 1, 450)}
 
 
@@ -266,9 +266,9 @@ def test_large_buckets_lose_no_pair(monkeypatch):
     monkeypatch.setattr(neardup, "BUCKET", 3)
     monkeypatch.setattr(neardup, "HELD", 8)
     ids = list(range(100, 120))
-    entry = lambda part, buckets, texts: (part, np.array(buckets, np.uint32).tobytes(), np.arange(len(texts), dtype=np.uint16).tobytes(), np.array(texts, np.int64).tobytes())
+    entry = lambda part, buckets, texts: (part, np.array(buckets, np.uint32).tobytes(), np.array(texts, np.uint16).tobytes(), 0)
     rows = [entry(0, [5] * 5 + [6], ids[i : i + 5] + [ids[i]]) for i in range(0, 20, 5)] + [entry(1, [9, 9], [1, 2])]
-    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["part", "bucket", "place", "texts"])
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["part", "bucket", "place", "base"])
     out = [r for b in neardup._pair_rows(iter([batch])) for r in b.to_pylist()]
     pairs = {(r["a"], r["b"]) for r in out if r["a"] is not None}
     blocks = collections.defaultdict(list)
@@ -431,11 +431,40 @@ def test_quality_moves_the_sample(spark):
 
 
 def test_sentences():
-    s, _, _, doc = subjects.grams(["One two. Three 4.5 four\nfive! six", "", None, "—", "x y. Z"])
+    s, *_, doc = subjects.grams(["One two. Three 4.5 four\nfive! six", "", None, "—", "x y. Z"])
     assert [d for d in doc if d != 3] == [0, 0, 0, 4, 4]  # a dash alone may count as a word
     assert len(s) == len(subjects.grams(["One two. Three 4.5 four\nfive! six", "", None, "—", "x y. Z"])[1])
 
 
+def test_gains_are_differences_of_interpolated_log_probabilities(monkeypatch):
+    monkeypatch.setattr(subjects, "AGAINST_CHANCE", 0.0)
+    texts = ["the cat sat. the dog sat. the tax rose.", "the tax levy rose. the tax levy fell."]
+    s, c, w, p, _ = subjects.grams(texts)
+    sub = subjects._table(*subjects._by_label(c[-8:], w[-8:], p[-8:], subjects._firsts(s[-8:]), np.zeros(8, np.int64), 2), 2)
+    all_ = subjects._table(*subjects._by_label(c, w, p, subjects._firsts(s), np.zeros(len(s), np.int64), 1), 1)[:, 0]
+    u, i = np.unique(p, return_index=True)
+    m = subjects.Models(sub, all_, (u, c[i] >> 32, c[i] & 0xFFFFFFFF, w[i]))
+    assert all_[:8].sum() == len(s) and m.gain[:, 1].max() == 0  # all words stand under a language; a subject without sentences is tied
+    levy = p[len(s) - 6]  # "tax levy": after "tax", which stands twice in the subject and three times in all, twice
+    common = subjects.OWN * 2 / 3 + (1 - subjects.OWN) * 2 / len(s)
+    own = 2 / 8 + subjects.TRUST * 2 / (2 + subjects.ENOUGH) * (2 / 2 - 2 / 8)
+    assert levy == p[len(s) - 2] and abs(m.gain[levy, 0] - np.log(subjects.BACKGROUND + (1 - subjects.BACKGROUND) * own / common)) < 1e-5
+    assert np.allclose(m.gains(s, p)[-1], m.gain[p[s == s[-1]]].mean(axis=0))
+
+
+def test_a_sentence_can_gain_from_two_subjects():
+    law, sport, both = "The court dismissed the injunction.", "The league signed the striker.", "The court dismissed the injunction and the league signed the striker."
+    texts = [law] * 9 + [sport] * 9 + [both] + ["The board met and the revenue of the unit was flat."] * 30
+    s, c, w, p, doc = subjects.grams(texts)
+    label = np.where(doc[s] < 9, 0, 1)
+    mine = doc[s] < 18
+    sub = subjects._table(*subjects._by_label(c[mine], w[mine], p[mine], subjects._firsts(s)[mine], label[mine], 2), 2)
+    u, i = np.unique(p, return_index=True)
+    m = subjects.Models(sub, subjects._table(*subjects._by_label(c, w, p, subjects._firsts(s), np.zeros(len(s), np.int64), 1), 1)[:, 0], (u, c[i] >> 32, c[i] & 0xFFFFFFFF, w[i]))
+    g = m.gains(s, p)
+    assert g[18].min() > 0.2 and g[0][0] > 0.4 > 0.01 > abs(g[0][1]) and abs(g[19]).max() < 0.01
+
+
 @needs_data
 def test_subjects_held_out(spark):
     e = spark.read.parquet(str(DATA / "sf0.01" / "subject_examples.parquet")).collect()
