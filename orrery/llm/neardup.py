@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from orrery.llm.graph import components
 from orrery.llm.lookalikes import Normaliser, normaliser_for
 from orrery.llm.shingles import clean, mix, shingle_sets, text_hash
+from orrery.operators.history import once
 from orrery.session import written
 
 #: Places of the table of document frequencies; rare shingles share places with others that are mostly rare, too.
@@ -34,9 +35,9 @@ DF_SIZE = 1 << 17
 #: The greatest weight of a shingle over the least.
 SPREAD = 1.1
 SAMPLES, PER_BAND, BANDS = 150, 6, 150
-#: Least share of the samples on which a proposed pair must agree to be verified; it lies five standard deviations
-#: below a weighted similarity of 0.577.
-LEAST_AGREEMENT = 0.36
+#: Samples that are compared for a proposed pair, and the least share on which it must agree to be verified; it lies five
+#: standard deviations below a weighted similarity of 0.577.
+COMPARED, LEAST_AGREEMENT = 64, 0.27
 BUCKET = 200
 #: Entries of a part of the buckets, and entries held at once where one part has more.
 PART_ENTRIES, HELD = 400_000, 4_000_000
@@ -258,7 +259,7 @@ def proposed_pairs(texts: DataFrame) -> DataFrame:
 def _agreement(a: str, b: str):
     @F.pandas_udf("float")
     def agree(x: pd.Series, y: pd.Series) -> pd.Series:
-        p, q = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, SAMPLES) for v in (x, y))
+        p, q = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, COMPARED) for v in (x, y))
         return pd.Series((p == q).mean(axis=1, dtype=np.float32))
 
     return agree(a, b)
@@ -270,10 +271,9 @@ def similar_texts(df: DataFrame, key: str, text: str, threshold: float = 0.8, k:
     ``threshold`` or more. Rows without a key are left out; repeated rows count once; other columns are not read."""
     df = df.where(F.col(key).isNotNull())
     norm = normaliser or normaliser_for(df, [text])
-    signed = written(signatures(df, key, text, norm, k), "signed")
-    texts = signed.where("sig is not null").groupBy("h").agg(F.first("sig").alias("sig"), F.min("key").alias("key"))
-    texts = written(texts.withColumn("id", F.monotonically_increasing_id()), "texts")  # ids are settled by being written
-    pairs, of = proposed_pairs(texts), lambda a: texts.select(F.col("id").alias(a), F.struct("h", "key").alias(f"t{a}"), F.col("sig").alias(f"s{a}"))
+    signed = written(signatures(df, key, text, norm, k).withColumn("id", F.monotonically_increasing_id()), "signed")  # ids are settled by being written
+    texts = once(signed.where("sig is not null"), "h", "id")
+    pairs, of = proposed_pairs(texts), lambda a: texts.select(F.col("id").alias(a), F.struct("h", "key").alias(f"t{a}"), F.substring("sig", 1, COMPARED).alias(f"s{a}"))
     near = pairs.join(of("a"), "a").join(of("b"), "b").where(_agreement("sa", "sb") >= LEAST_AGREEMENT).select("ta", "tb")
     near = written(near, "near")
     wanted = written(near.select(F.col("ta").alias("t")).unionAll(near.select("tb")).distinct().select("t.h", "t.key"), "wanted")
@@ -334,12 +334,14 @@ def _sets(df: DataFrame, key: str, text: str, norm: Normaliser, k: int, wanted:
         for b in _rows(batches):
             at = [i for i, v in enumerate(b.column(0).to_pylist()) if held[(p := place(v)) >> 3] >> (p & 7) & 1]
             keys = b.column(0).take(pa.array(at, pa.int64()))
-            doc, shingle, _ = shingle_sets([clean(t, norm) for t in b.column(1).take(pa.array(at, pa.int64())).to_pylist()], k)
+            cleaned = [clean(t, norm) for t in b.column(1).take(pa.array(at, pa.int64())).to_pylist()]
+            doc, shingle, _ = shingle_sets(cleaned, k)
             ends = np.searchsorted(doc, np.arange(len(at) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends), pa.array(shingle.view(np.int64)))], names=["key", "s"])
+            hashes = pa.array([text_hash(t) for t in cleaned], pa.int64())
+            yield pa.RecordBatch.from_arrays([keys, hashes, pa.ListArray.from_arrays(pa.array(ends), pa.array(shingle.view(np.int64)))], names=["key", "h", "s"])
 
-    found = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(read, f"key {kind}, s array<long>")
-    return wanted.join(found, "key").groupBy("h").agg(F.first("s").alias("s"))
+    found = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(read, f"key {kind}, h long, s array<long>")
+    return wanted.join(found, ["key", "h"]).groupBy("h").agg(F.first("s").alias("s"))
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, k: int = 5, normaliser: Normaliser | None = None) -> DataFrame:
