@@ -138,12 +138,12 @@ def _slab(raw: Sequence[bytes]) -> tuple[np.ndarray, ...]:
 
 
 class Models:
-    """``gain``: for each place of a bigram and each subject, how far the subject's log probability of the word lies over the
-    background's. ``counts`` has a row for each place of words, then of bigrams, and a column for each subject; ``background``
+    """For each place of a bigram the subject whose model is not tied there (``owner``, -1 for none), and how far its log
+    probability of the word lies over the background's (``value``). ``counts`` has a row for each place of words, then of bigrams, and a column for each subject; ``background``
     has the counts of all sentences of the corpus, ``pairs`` the (bigram, language, context, word) that stand in it."""
 
     def __init__(self, counts: np.ndarray, background: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> None:
-        self.gain = np.zeros((PLACES, counts.shape[1]), np.float32)
+        self.subjects, self.owner, self.value = counts.shape[1], np.full(PLACES, -1, np.int8), np.zeros(PLACES, np.float32)
         bigram, language, context, word = pairs
         b, c = background, counts
         common = OWN * b[PLACES + bigram] / np.maximum(b[context], 1) + (1 - OWN) * b[word] / np.maximum(b[language], 1)
@@ -156,7 +156,7 @@ class Models:
             after = np.maximum(c[h, j], c[PLACES + g, j])
             own = c[w, j] / np.maximum(c[l, j], 1)
             own = own + TRUST * after / (after + ENOUGH) * (c[PLACES + g, j] / np.maximum(after, 1) - own)
-            self.gain[g, j] = np.log(BACKGROUND + (1 - BACKGROUND) * own / common[at])
+            self.owner[g], self.value[g] = j, np.log(BACKGROUND + (1 - BACKGROUND) * own / common[at])
 
     @staticmethod
     def _told(c: np.ndarray, b: np.ndarray, all_c: np.ndarray, all_b: np.ndarray) -> np.ndarray:
@@ -168,10 +168,11 @@ class Models:
 
     def gains(self, sentence: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """How far each subject's cross-entropy lies below the background's, in nats a token, by sentence."""
-        if not len(sentence):
-            return np.zeros((0, self.gain.shape[1]))
-        starts = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
-        return np.add.reduceat(self.gain[pair], starts, axis=0) / np.diff(np.append(starts, len(sentence)))[:, None]
+        n = int(sentence[-1]) + 1 if len(sentence) else 0
+        own = self.owner[pair]
+        at = np.flatnonzero(own >= 0)
+        out = np.bincount(sentence[at] * self.subjects + own[at], self.value[pair[at]], minlength=n * self.subjects)
+        return out.reshape(n, self.subjects) / np.maximum(np.bincount(sentence, minlength=n), 1)[:, None]
 
 
 def _by_label(context: np.ndarray, word: np.ndarray, pair: np.ndarray, first: np.ndarray, label: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray]:
