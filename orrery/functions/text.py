@@ -29,10 +29,15 @@ def shingles(text: Column, k: int = 5) -> Column:
     return F.transform(F.array(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))), runs)[0]
 
 
+# What is no part of a name.
+NAME_SUFFIXES = ("inc", "incorporated", "corp", "corporation", "company", "co", "plc", "llc", "lp", "ltd", "limited", "holdings", "group", "the", "and", "&")
+
+
 def normalised_name(name: Column) -> Column:
-    """A company's name without its legal form, in lower case, punctuation as spaces; inner runs of spaces stay."""
-    forms = r"\b(?:incorporated|inc|corporation|corp|company|co|limited|ltd|plc|llc|group|holdings)\b\.?"
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), forms, " "), "[^a-z0-9 ]", " "))
+    """A company's name without its legal form and without articles, in lower case, punctuation as spaces; inner runs of
+    spaces stay."""
+    forms = rf"[\s,]*\b(?:{'|'.join(NAME_SUFFIXES)})\b\.?"
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), forms, " "), "[^a-z0-9 ]+", " "))
 
 
 def title(text: Column, limit: int = 60) -> Column:
@@ -55,25 +60,36 @@ def figures(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?%?"), F.lit(0)))
 
 
+_CAPITALISED = r"[A-Z][a-zA-Z0-9&.\-]*"
+RUN = rf"\b({_CAPITALISED}(?:\s+(?:of|and|the|de|&)\s+{_CAPITALISED}|\s+{_CAPITALISED})*)\b"
+POSSESSIVE = r"['’]s\b"
+
+
 def capitalised_runs(text: Column) -> Column:
-    """Runs of capitalised words, which may cross of, and, the, de and &."""
-    return F.regexp_extract_all(text, F.lit(r"[A-Z][A-Za-z0-9.&-]*(?: (?:(?:of|and|the|de|&) )*[A-Z][A-Za-z0-9.&-]*)*"), F.lit(0))
+    """Runs of capitalised words, which may cross one of, and, the, de or & at a time, without possessive endings."""
+    return F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(1)), lambda r: F.regexp_replace(r, POSSESSIVE, ""))
+
+
+# Words that ask for quarterly or for annual filings, and numbers of years in words.
+QUARTERLY_WORDS = r"\b(10-?q|quarter|quarterly|q[1-4])\b"
+ANNUAL_WORDS = r"\b(10-?k|annual|full[- ]year|fiscal\s+year\s+end)\b"
+LAST_YEARS = r"\b(?:last|past|previous|recent)\s+(two|three|four|five|2|3|4|5|few|several|couple(?:\s+of)?)\s+(?:fiscal\s+)?years?\b"
+SINCE_YEAR = r"\bsince\s+((?:19|20)\d{2})\b"
 
 
 def form_hint(question: Column) -> Column:
     """10-Q for quarterly words, 10-K for annual ones, null for neither or both."""
-    q = F.lower(question).rlike(r"\b(10-q|quarter|quarters|quarterly)\b")
-    k = F.lower(question).rlike(r"\b(10-k|annual|annually|yearly)\b")
+    q, k = F.lower(question).rlike(QUARTERLY_WORDS), F.lower(question).rlike(ANNUAL_WORDS)
     return F.when(q & ~k, "10-Q").when(k & ~q, "10-K")
 
 
 def year_window(question: Column, latest: Column) -> Column:
-    """(lo, hi) of fiscal years: since a year, the last n years, or the years named; null if none are."""
+    """(lo, hi) of fiscal years: since a year, the last n years up to ``latest``, or from the first to the last year named;
+    null if none is."""
     q = F.lower(question)
-    since = F.regexp_extract(q, r"\bsince (?:fiscal )?(20\d\d|19\d\d)", 1)
-    last = F.regexp_extract(q, r"\b(?:last|past|previous|recent) (\d+|few|several|couple of|two|three|four|five) (?:fiscal )?years", 1)
-    n = F.when(last.isin("few", "several", "three"), 3).when(last.isin("couple of", "two"), 2).when(last == "four", 4).when(last == "five", 5).otherwise(last.try_cast("int"))
-    years = F.transform(F.regexp_extract_all(q, F.lit(r"\b((?:19|20)\d\d)\b"), F.lit(1)), lambda y: y.cast("int"))
+    since, last = F.regexp_extract(q, SINCE_YEAR, 1), F.regexp_extract(q, LAST_YEARS, 1)
+    n = F.when(last.isin("few", "several", "three", "3"), 3).when(last.isin("four", "4"), 4).when(last.isin("five", "5"), 5).otherwise(2)
+    years = F.transform(F.regexp_extract_all(q, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)), lambda y: y.cast("int"))
     pair = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
     return F.when(since != "", pair(since, latest)).when(last != "", pair(latest - n + 1, latest)).when(F.size(years) > 0, pair(F.array_min(years), F.array_max(years)))
 
@@ -93,3 +109,34 @@ def fiscal_period(report_period: Column, url: Column, filing_date: Column, form:
 def contextual_prefix(company: Column, ticker: Column, form: Column, year: Column, period_end: Column, section: Column) -> Column:
     period = F.when(F.coalesce(period_end, F.lit("")) != "", F.concat(F.lit(" (period ending "), period_end, F.lit(")"))).otherwise("")
     return F.concat(F.coalesce(company, F.lit("")), F.lit(" ("), ticker, F.lit(") — "), form, F.lit(", FY"), F.coalesce(year.cast("string"), F.lit("")), period, F.lit(" — "), section, F.lit(":"))
+
+
+def embedding_text(prefix: Column, text: Column) -> Column:
+    """What is encoded of a passage: its prefix, a line break, its text."""
+    return F.concat(prefix, F.lit("\n"), text)
+
+
+def passage_label(company: Column, ticker: Column, form: Column, year: Column, period_end: Column, section: Column) -> Column:
+    """How a passage is introduced: company, form, the end of its period (the fiscal year where none is known), section."""
+    when = F.when(F.coalesce(period_end, F.lit("")) != "", F.concat(F.lit("period ending "), period_end)).otherwise(F.concat(F.lit("FY"), F.coalesce(year.cast("string"), F.lit(""))))
+    return F.concat(F.coalesce(company, F.lit("")), F.lit(" ("), ticker, F.lit(") | "), form, F.lit(", "), when, F.lit(" | "), section)
+
+
+def incremental_risk(form: Column, section: Column) -> Column:
+    """Whether a passage is a quarterly report's risk section, which states changes only."""
+    return F.coalesce((form == "10-Q") & F.contains(F.lower(section), F.lit("risk factors")), F.lit(False))
+
+
+def asked(question: Column) -> Column:
+    """The question without surrounding white space; null if nothing is left."""
+    q = F.regexp_replace(question, r"^\s+|\s+$", "")
+    return F.when(q != "", q)
+
+
+def linked_handles(text: Column, handles: Column, prefix: str) -> Column:
+    """Text with each handle of ``handles`` as a link to the anchor ``prefix``-cite-handle; other handles stay as they are,
+    and so does what stands in code spans and in links."""
+    parts = F.regexp_extract_all(text, F.lit(r"(`[^`]*`|\[[^\]]*\]\([^)]*\)|\[C\d+\]|[^\[`]+|.)"), F.lit(1))
+    own = lambda p: F.regexp_extract(p, r"^\[(C\d+)\]$", 1)
+    link = lambda p: F.when((own(p) != "") & F.array_contains(handles, own(p)), F.concat(p, F.lit(f"(#{prefix}-cite-"), own(p), F.lit(")"))).otherwise(p)
+    return F.array_join(F.transform(parts, link), "")

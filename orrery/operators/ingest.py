@@ -11,26 +11,48 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.text import fiscal_period
+
 TARGET, OVERLAP, LEAST = 800, 0.15, 20
 LATE, MAX_PROSE = 0.9, 2
-# The headings of the items, in order, with the labels that passages carry.
-ANNUAL = (("1", "Business"), ("1A", "Risk Factors"), ("3", "Legal Proceedings"), ("7", "Management's Discussion and Analysis"), ("7A", "Quantitative and Qualitative Disclosures About Market Risk"), ("8", "Financial Statements"))
-QUARTERLY = (("1", "Financial Statements"), ("2", "Management's Discussion and Analysis"), ("3", "Quantitative and Qualitative Disclosures About Market Risk"), ("4", "Controls and Procedures"))
-QUARTERLY_II = (("1", "Legal Proceedings"), ("1A", "Risk Factors"))
+#: Characters of a file in which its header stands.
+HEADER = 4000
+# The headings of the items, in order: number, pattern of the title's beginning, label that passages carry.
+ANNUAL = (
+    ("1", r"Business", "Item 1 — Business"),
+    ("1A", r"Risk\s+Factors", "Item 1A — Risk Factors"),
+    ("3", r"Legal\s+Proceedings", "Item 3 — Legal Proceedings"),
+    ("7", r"Management.s\s+Discussion", "Item 7 — Management's Discussion and Analysis"),
+    ("7A", r"Quantitative", "Item 7A — Quantitative and Qualitative Disclosures About Market Risk"),
+    ("8", r"Financial\s+Statements", "Item 8 — Financial Statements"),
+)
+QUARTERLY = (
+    ("1", r"Financial\s+Statements", "Item 1 — Financial Statements"),
+    ("2", r"Management.s\s+Discussion", "Item 2 — Management's Discussion and Analysis"),
+    ("3", r"Quantitative", "Item 3 — Quantitative and Qualitative Disclosures About Market Risk"),
+    ("4", r"Controls\s+and\s+Procedures", "Item 4 — Controls and Procedures"),
+    ("1", r"Legal\s+Proceedings", "Part II Item 1 — Legal Proceedings"),
+    ("1A", r"Risk\s+Factors", "Part II Item 1A — Risk Factors"),
+)
+# What stands between an item's number and its title, and a row of a table of contents.
+BETWEEN = r"[.:\-–—]?[\s\xa0|]*"
+CONTENTS_ROW = re.compile(r"[^\n]*\|[\s\xa0]*\d+[\s\xa0]*")
 # Words that end with a full stop within a sentence.
-ABBREVIATIONS = frozenset("u.s inc corp co ltd no vs mr mrs ms dr e.g i.e etc i.r.s s.e.c jr sr st approx".split())
+ABBREVIATIONS = frozenset("inc corp ltd co no nos mr mrs ms dr jr sr st vs etc al ph fig e.g i.e approx dept div univ sec art".split())
+# Captions of scale, figures whose scale matters, labels of periods, residue of tags.
+SCALE_CAPTION = r"(?:\(|\b)(?:\$\s*)?(?:in|dollars\s+in|amounts\s+in)\s+(?:millions|thousands|billions)\b"
+SCALED_FIGURE = r"\|\s*\$?\s*\(?(?:\d{1,3}(?:,\d{3})+|\$\s*[\d.]+|\d+\.\d\d)\b"
+PERIOD_LABEL = r"\b(?:19|20)\d\d\b|\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\b|\b(?:Three|Six|Nine|Twelve)\s+Months\b|\bQ[1-4]\b|\bYears?\s+Ended\b"
+TAG = r"(us-gaap:|http://fasb\.org|http://xbrl\.|iso4217:|srt:)\S*"
+TAG_LINE = r"(?m)^[a-z0-9\-]{4,}(false|true)?\d{4}(FY|Q\d)?\d{6,}.*$"
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
-_BREAK = re.compile(r"(?<=[.!?\"”])(?=[A-Z\"“][A-Za-z])")
-_SCALE = re.compile(r"\(?\$?\s*(?:in|dollars in|amounts in)\s+(?:millions|thousands|billions)", re.I)
-_FIGURE = re.compile(r"\|[^|\n]*(?:\d,\d{3}|\$|\d\.\d\d)")
-_PERIOD = re.compile(r"(?:19|20)\d\d|(?:months|year|quarter)s? ended", re.I)
-_TABLE_OF_CONTENTS = re.compile(r"[^\n]*\|[\s\xa0]*\d+[\s\xa0]*$", re.M)
-_XBRL = r"\b[a-z]{2,10}:[A-Z][A-Za-z0-9]{5,}\b"
-_GLUED = r"(?m)^[A-Za-z0-9:_-]{80,}$\n?"
+_BREAK = re.compile(r"(?<=[.!?\"])(?=[A-Z\"])")
+_HEADING = re.compile(r"[a-z]{3}(?=[A-Z][a-z]+\s)")
+_SCALE, _FIGURE, _PERIOD = (re.compile(p, re.I) for p in (SCALE_CAPTION, SCALED_FIGURE, PERIOD_LABEL))
 
 
 def header(raw: Column) -> Column:
@@ -50,19 +72,21 @@ def body(raw: Column) -> Column:
 
 
 def without_residue(text: Column) -> Column:
-    """Text without tag residue: single tags become a space, lines of glued tags go."""
-    return F.regexp_replace(F.regexp_replace(text, _XBRL, " "), _GLUED, "")
+    """Text without tag residue: single tags become a space, lines of joined contexts go."""
+    return F.regexp_replace(F.regexp_replace(text, TAG, " "), TAG_LINE, "")
 
 
 def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text)
 
 
-def _headings(form: str) -> list[tuple[str, re.Pattern]]:
-    quarterly = "10-Q" in form.upper()
-    names = [(f"Item {n} — {t}", n, t) for n, t in (QUARTERLY if quarterly else ANNUAL)]
-    names += [(f"Part II Item {n} — {t}", n, t) for n, t in QUARTERLY_II] if quarterly else []
-    return [(label, re.compile(rf"Item[\s\xa0]*{n}[.:—–\s\xa0-]+{re.escape(t[:12])}", re.I)) for label, n, t in names]
+def token_spans(text: str) -> list[tuple[int, int]]:
+    """Where the tokens of a text stand."""
+    return [m.span() for m in _TOKEN.finditer(text)]
+
+
+def _headings(form: str | None) -> list[tuple[str, re.Pattern]]:
+    return [(label, re.compile(rf"Item\s+{n}{BETWEEN}{title}", re.I)) for n, title, label in (QUARTERLY if "10-Q" in (form or "").upper() else ANNUAL)]
 
 
 def _quoted(text: str, at: int) -> bool:
@@ -78,8 +102,8 @@ def sections(text: str, form: str) -> list[tuple[str, int, int]]:
     found, cursor = [], 0
     for label, pattern in _headings(form):
         for m in pattern.finditer(text, cursor):
-            rest = text[m.start() : text.find("\n", m.end()) if "\n" in text[m.end() :] else len(text)]
-            if not _quoted(text, m.start()) and not _TABLE_OF_CONTENTS.fullmatch(rest):
+            end = text.find("\n", m.start())
+            if not _quoted(text, m.start()) and not CONTENTS_ROW.fullmatch(text, m.start(), end if end >= 0 else len(text)):
                 found.append((label, m.start()))
                 cursor = m.start() + 1
                 break
@@ -89,18 +113,32 @@ def sections(text: str, form: str) -> list[tuple[str, int, int]]:
     return [(label, at, starts[i + 1][1] if i + 1 < len(starts) else len(text)) for i, (label, at) in enumerate(starts)]
 
 
+def _abbreviated(before: str) -> bool:
+    """Whether a text ends with an abbreviation's full stop or with an initial's."""
+    if not before.endswith("."):
+        return False
+    word = re.search(r"[\w.]*$", before[:-1])[0]
+    ends = {word.lower(), word.lower().rsplit(".", 1)[-1]}
+    return bool(ends & ABBREVIATIONS) or bool(re.search(r"(?:^|[\s(.])[A-Z]$", before[:-1]))
+
+
+def boundaries(text: str) -> list[int]:
+    """Where blocks were joined without a space: at a sentence's end that meets a capital, but for abbreviations; and where a
+    heading runs into its text: a capitalised word begins within one, in the last 70 characters there is no table and no new
+    line in the last 25, and three of the last four words are capitalised."""
+    found = {m.start() for m in _BREAK.finditer(text) if not _abbreviated(text[max(0, m.start() - 12) : m.start()])}
+    for m in _HEADING.finditer(text):
+        before = text[max(0, m.end() - 70) : m.end()]
+        last = before.split()[-4:]
+        if "|" not in before and "\n" not in before[-25:] and sum(w[0].isupper() for w in last) >= 3:
+            found.add(m.end())
+    return sorted(found)
+
+
 def reflowed(text: str) -> str:
-    """Text with a blank line at each boundary of blocks that were joined without a space; nothing else changes."""
-    out, last = [], 0
-    for m in _BREAK.finditer(text):
-        at = m.start()
-        before = text[max(0, at - 12) : at]
-        word = re.split(r"[\s(]", before)[-1].rstrip("\"”")
-        if word.endswith(".") and (word[:-1].lower() in ABBREVIATIONS or re.fullmatch(r"(?:[A-Z]\.)+", word)):
-            continue
-        out += text[last:at], "\n\n"
-        last = at
-    return "".join(out) + text[last:]
+    """Text with a blank line at each lost boundary of blocks; nothing else changes."""
+    cuts = [0, *boundaries(text), len(text)]
+    return "\n\n".join(text[a:b] for a, b in zip(cuts, cuts[1:])) if len(cuts) > 2 else text
 
 
 def pieces(text: str) -> list[str]:
@@ -109,64 +147,68 @@ def pieces(text: str) -> list[str]:
     return parts if len(parts) > 1 else [p for p in re.split(r"(?<=[.!?])\s+(?=[A-Z\"“])", text) if p.strip()]
 
 
-def hard_windows(words: Sequence[str], size: int = TARGET, overlap: float = OVERLAP) -> list[str]:
-    step = int(size * (1 - overlap))
-    return [" ".join(words[i : i + size]) for i in range(0, len(words), step)]
+def hard_windows(text: str, spans: Callable[[str], list[tuple[int, int]]] = token_spans, size: int = TARGET, overlap: float = OVERLAP) -> list[str]:
+    """Slices of the text of ``size`` tokens each, the overlap shared with the one before; no character changes."""
+    at, step = spans(text), size - int(size * overlap)
+    return [text[at[i][0] : at[min(i + size, len(at)) - 1][1]] for i in range(0, len(at), step)]
 
 
 def is_period_header(line: str) -> bool:
     return line.count("|") >= 2 and not _FIGURE.search(line) and bool(_PERIOD.search(line))
 
 
+def line_kinds(line: Column) -> dict[str, Column]:
+    """What a line is, as columns: a caption of scale, a row with figures whose scale matters, a header of periods, a row of a
+    table of contents."""
+    figure = line.rlike(SCALED_FIGURE)
+    pipes = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
+    header_row = (pipes >= 2) & ~figure & line.rlike(f"(?i){PERIOD_LABEL}")
+    return {"scale_caption": line.rlike(f"(?i){SCALE_CAPTION}"), "scaled_figure": figure, "period_header": header_row, "contents_row": line.rlike(f"^{CONTENTS_ROW.pattern}$")}
+
+
 def with_caption(section: str, window: str) -> str:
     """A window with figures but no scale caption gets the nearest caption before it, and the header of periods after that,
-    unless more than two lines of prose lie between. A window that does not stand in the section word for word is left."""
-    at = section.find(window)
-    if at < 0 or _SCALE.search(window) or not _FIGURE.search(window):
+    unless more than two lines of prose in a row, without a table's line between, come first. A window that does not stand in
+    the section word for word is left."""
+    lines = window.split("\n")
+    if any(_SCALE.search(x) for x in lines) or not any(_FIGURE.search(x) for x in lines) or (at := section.find(window)) <= 0:
         return window
-    prose, head = 0, None
+    prose, head = 0, []
     for line in reversed(section[:at].split("\n")):
-        s = line.strip()
-        if not s or "|" in s:
-            head = s if head is None and s and is_period_header(s) else head
-            continue
-        if _SCALE.search(s):
-            return "\n".join([s, *([head] if head else []), window])
-        prose += 1
+        if not head and is_period_header(line):
+            head = [line]
+        if _SCALE.search(line):
+            return "\n".join([line, *head, window])
+        if line.strip():
+            prose = 0 if "|" in line else prose + 1
         if prose > MAX_PROSE:
             break
     return window
 
 
-def windows(text: str, count: Callable[[str], int] = lambda s: len(tokens(s)), target: int = TARGET, overlap: float = OVERLAP, least: int = LEAST) -> list[str]:
-    """Passages of at most ``target`` tokens made of whole pieces, each beginning with the pieces of the one before that fit
-    into the overlap; a piece over the target is cut by tokens; passages under ``least`` tokens are dropped."""
+def windows(text: str, count: Callable[[str], int] = lambda s: len(tokens(s)), target: int = TARGET, overlap: float = OVERLAP, least: int = LEAST, spans: Callable[[str], list[tuple[int, int]]] = token_spans) -> list[str]:
+    """Passages of whole pieces up to ``target`` tokens, each beginning with the last pieces of the one before that fit into
+    the overlap; a piece over the target is cut at tokens; passages under ``least`` tokens are dropped."""
     text = reflowed(text)
     out: list[str] = []
-    held: list[str] = []
-    sizes: list[int] = []
+    held: list[tuple[str, int]] = []
     for p in pieces(text):
         n = count(p)
         if n > target:
-            if held:
-                out.append(" ".join(held))
-            held, sizes = [], []
-            out += hard_windows(tokens(p), target, overlap)
+            out += [" ".join(x for x, _ in held)] if held else []
+            out += hard_windows(p, spans, target, overlap)
+            held = []
             continue
-        if held and sum(sizes) + n > target:
-            out.append(" ".join(held))
-            keep, total = 0, 0
-            while keep < len(sizes) and total + sizes[-1 - keep] <= target * overlap:
-                total += sizes[-1 - keep]
-                keep += 1
-            held, sizes = held[len(held) - keep :], sizes[len(sizes) - keep :]
-            if sum(sizes) + n > target:
-                held, sizes = [], []
-        held.append(p)
-        sizes.append(n)
-    if held:
-        out.append(" ".join(held))
-    return [with_caption(text, w) for w in out if count(w) >= least]
+        if held and sum(m for _, m in held) + n > target:
+            out.append(" ".join(x for x, _ in held))
+            keep, total = len(held), 0
+            while keep and total + held[keep - 1][1] <= int(target * overlap):
+                keep -= 1
+                total += held[keep][1]
+            held = held[keep:]
+        held.append((p, n))
+    out += [" ".join(x for x, _ in held)] if held else []
+    return [with_caption(text, w) for w in (x.strip() for x in out) if w and count(w) >= least]
 
 
 CHUNK = "chunk_id string, text string, company string, ticker string, cik string, form_type string, fiscal_year int, period_end string, filing_date string, item_section string, chunk_index int, source_file string, token_count int"
@@ -192,6 +234,38 @@ def chunk_filings(filings: DataFrame, count: Callable[[str], int] = lambda s: le
     return filings.select(*cols).where("body is not null").mapInPandas(cut, CHUNK)
 
 
+def parsed(raw: DataFrame) -> DataFrame:
+    """Filings (source_file, raw) with the columns that ``chunk_filings`` reads: header, fiscal period, and the text after the
+    header without tag residue. A file without a header is all text and has empty fields."""
+    h = raw.where("raw is not null").select("source_file", header(F.col("raw")).alias("h"), without_residue(body(F.col("raw"))).alias("body"))
+    get = lambda k: F.coalesce(F.col("h")[k], F.lit(""))
+    period = fiscal_period(F.col("h")["report period"], F.col("h")["url"], get("filing date"), get("filing type"))
+    return h.select(
+        "source_file", "body", get("company").alias("company"), get("ticker").alias("ticker"), get("cik").alias("cik"), get("filing type").alias("form_type"),
+        period["fiscal_year"].alias("fiscal_year"), period["period_end"].alias("period_end"), get("filing date").alias("filing_date"),
+    )
+
+
+def headers(raw: DataFrame) -> DataFrame:
+    """(source_file, header) from the first HEADER characters of each file; files without a header are left out."""
+    h = raw.select("source_file", header(F.substring("raw", 1, HEADER)).alias("header"))
+    return h.where(F.size("header") > 0)
+
+
+def section_coverage(filings: DataFrame) -> DataFrame:
+    """(form_type, coverage): of each form the upper median of the share of a filing's text that stands in labelled sections."""
+
+    def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            part = [sum(b - a for label, a, b in sections(t, f) if label != "Unlabelled section") / max(len(t), 1) for t, f in zip(pdf.body, pdf.form_type)]
+            yield pd.DataFrame({"form_type": pdf.form_type, "share": part})
+
+    each = filings.select("body", "form_type").where("body is not null").mapInPandas(share, "form_type string, share double")
+    place = F.row_number().over(Window.partitionBy("form_type").orderBy("share"))
+    ranked = each.withColumn("_i", place).withColumn("_n", F.count("*").over(Window.partitionBy("form_type")))
+    return ranked.where(F.col("_i") == F.floor(F.col("_n") / 2) + 1).select("form_type", F.round("share", 6).alias("coverage"))
+
+
 def point_id(source_file: Column, chunk_index: Column) -> Column:
     """The deterministic id of a passage in an index: a version 5 UUID, from the bytes of a SHA-1 digest."""
     name = F.concat(source_file, F.lit("#"), chunk_index.cast("string"))

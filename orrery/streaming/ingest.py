@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -19,8 +19,27 @@ def upsert_stream(spark: SparkSession, folder: str, schema: StructType, target:
 
 
 def current(spark: SparkSession, target: str) -> DataFrame:
-    w = Window.partitionBy("chunk_id").orderBy(F.desc("ingested_at"), F.desc("batch"))
-    return spark.read.parquet(target).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "batch")
+    """The latest row of each id, from the compacted table and the batches since."""
+    from orrery.operators.history import once
+
+    rows = spark.read.parquet(target)
+    order = F.struct("ingested_at", "batch").alias("_at")
+    return once(rows.select("*", order), "chunk_id", "_at").drop("batch", "_at")
+
+
+def compact(spark: SparkSession, target: str) -> None:
+    """Puts the latest rows into one batch, under the greatest number so far, and removes the ones it replaces, so that the log
+    does not grow for ever. Not while the stream runs."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p) if s.getPath().getName().startswith("batch="))
+    if len(old) < 2:
+        return
+    whole = f"{target}/_compacted"  # readers pass over names that begin so
+    current(spark, target).write.mode("overwrite").parquet(whole)
+    for n in old:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/batch={n}"), True)
+    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(whole), spark._jvm.org.apache.hadoop.fs.Path(f"{target}/batch={old[-1]}"))
 
 
 def arrivals(spark: SparkSession, folder: str, schema: StructType, late: str = "30 days") -> DataFrame:
