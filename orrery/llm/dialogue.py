@@ -1,9 +1,10 @@
 """Problem 2: conversations rebuilt from message rows.
 
-Rows are read into one form (id, speaker, instant), repeated rows are dropped, and every message is linked to its
-likeliest parent among the messages before it in its channel, by time, shared names and shared words; links form trees,
-and the trees of a channel, laid out by instant and id, are the conversation. The channel here is the conversation's id,
-so the order of turns follows from instants alone; the links say which message a turn answers.
+Rows are read into one form (id, speaker, instant), repeated rows are dropped, and every message is linked to its likeliest
+parent among the messages before it in its channel, by time, shared names and shared words. Links form trees: a message
+without a candidate, or whose best link scores under ``LEAST_LINK``, is a root. Trees are what a channel in which several
+conversations run at once falls apart into (``threads``). Where the channel is a conversation's id, the trees of a channel are
+one conversation; each message belongs to the conversation of its tree's root, and turns are in order of instants and ids.
 
 Defined results: a row without a readable id belongs to no conversation; null content is empty content; a conversation with
 an unreadable role or time is broken; repeated rows count once under the smallest id; ties in time go by id.
@@ -11,20 +12,25 @@ an unreadable role or time is broken; repeated rows count once under the smalles
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.ordering import PART, numbered, partitioned, with_border_rows
+from orrery.session import written
 
 # The names under which the two speakers are stored.
 USER_ROLES = ("user", "human", "customer", "client", "person", "asker", "prompter")
 ASSISTANT_ROLES = ("assistant", "model", "bot", "ai", "chatbot", "gpt", "machine")
 #: Blank and invisible characters, for character sets of Java's regular expressions.
 UNSEEN = r"\s\p{Z}\p{Cf}\p{Cc}͏ᅟᅠ឴឵⠀ㅤﾠ︀-️᠋-᠏"
-#: Messages before one in its channel that can be its parent.
-LOOKBACK = 4
+#: What a link's score gains at most by another speaker, by shared names and by shared words, and what it loses for each
+#: message between.
+OTHER_SPEAKER, NAMES, WORDS, STEP = 2.0, 2.0, 1.0, 0.5
+#: Messages before one that can be its parent. No other can: the one directly before it scores 0 less its time at least, one
+#: that is n back scores the greatest gain less n - 1 steps and no less time.
+LOOKBACK = int((OTHER_SPEAKER + NAMES + WORDS) / STEP)
+#: Score of its best link from which on a message belongs to the tree of its parent.
+LEAST_LINK = 0.0
 _BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
@@ -86,39 +92,64 @@ def names(content: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(content, F.lit(r"\p{Lu}\p{L}{3,}"), F.lit(0)), lambda w: F.hash(w)))
 
 
-def linked(t: DataFrame) -> DataFrame:
-    """``t`` (from ``turns`` with ``_words`` and ``_names``, of conversations that are not broken) in order: with ``turn`` from 1, ``parent_id``, the
-    likeliest parent (null for the root of a tree), ``link_score``, and of the message before: ``previous_speaker``.
-
-    The score of a candidate among the last LOOKBACK messages: 2 if the other speaker wrote it, less the logarithm of
-    the minutes between (over 2), less a half for each message between, plus 2 times the share of the names it mentions
-    and 1 times the share of the words that the later message has too. A message is a root if it has no candidate."""
-    group, order = ["conversation_id"], ["instant", "message_id"]
+def linked(t: DataFrame, channel: str = "conversation_id") -> DataFrame:
+    """``t`` (message_id, speaker, instant, ``_words``, ``_names`` and others) in order of its channel: with ``turn`` from 1,
+    ``parent_id``, the likeliest parent (null for a root), ``link_score``, the score of the best candidate, and
+    ``previous_speaker``, of the message before. Words and names don't come out."""
+    group, order = [channel], ["instant", "message_id"]
     parts = partitioned(t, group, order)
     seen = with_border_rows(parts, group, order, LOOKBACK)
     w = Window.partitionBy(PART).orderBy(*group, *order)
-    row = F.struct("conversation_id", "message_id", "speaker", "instant", "_words", "_names")
+    row = F.struct(channel, "message_id", "speaker", "instant", "_words", "_names")
     share = lambda a, b: F.size(F.array_intersect(a, b)) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
-    lags = {f"_l{i}": F.lag(row, i).over(w) for i in range(1, LOOKBACK + 1)}
-    seen = seen.withColumns(lags)
-    scored = []
-    for i in range(1, LOOKBACK + 1):
-        c = F.col(f"_l{i}")
+    seen = seen.withColumn("_before", F.collect_list(row).over(w.rowsBetween(-LOOKBACK, -1)))  # LOOKBACK rows at most, nearest last
+
+    def score(c: Column, i: Column) -> Column:
+        back = F.size("_before") - i
         minutes = (F.unix_micros("instant") - F.unix_micros(c["instant"])) / 6e7
-        score = F.when(c["speaker"] != F.col("speaker"), 2.0).otherwise(0.0) - F.log1p(F.greatest(minutes, F.lit(0.0))) / 2 - F.lit(0.5 * (i - 1)) + 2 * share(c["_names"], F.col("_names")) + share(c["_words"], F.col("_words"))
-        scored.append(F.when(c["conversation_id"] == F.col("conversation_id"), F.struct(score.alias("score"), c["message_id"].alias("id"))))
-    best = reduce(lambda a, b: F.when(a.isNull() | (b["score"] > a["score"]), b).otherwise(a), scored)
-    before = F.when(F.col("_l1.conversation_id") == F.col("conversation_id"), F.col("_l1.speaker"))
-    out = seen.withColumn("_best", best).withColumn("previous_speaker", before).where("not _ghost").drop(*lags, "_ghost", "_words", "_names")
-    return numbered(out.withColumn("parent_id", F.col("_best.id")).withColumn("link_score", F.col("_best.score")).drop("_best"), group, order, "turn").drop(PART)
+        gain = F.when(c["speaker"] != F.col("speaker"), OTHER_SPEAKER).otherwise(0.0) + NAMES * share(c["_names"], F.col("_names")) + WORDS * share(c["_words"], F.col("_words"))
+        value = gain - F.log1p(F.greatest(minutes, F.lit(0.0))) / 2 - STEP * (back - 1)
+        return F.when(c[channel] == F.col(channel), F.struct(value.alias("score"), (-back).alias("near"), c["message_id"].alias("id")))
+
+    best = F.array_max(F.transform("_before", score))
+    last = F.try_element_at("_before", F.lit(-1))
+    before = F.when(last[channel] == F.col(channel), last["speaker"])
+    out = seen.withColumn("_best", best).withColumn("previous_speaker", before).where("not _ghost").drop("_before", "_ghost", "_words", "_names")
+    out = out.withColumn("parent_id", F.when(F.col("_best.score") >= LEAST_LINK, F.col("_best.id"))).withColumn("link_score", F.col("_best.score")).drop("_best")
+    return numbered(out, group, order, "turn").drop(PART)
+
+
+def roots(links: DataFrame) -> DataFrame:
+    """(message_id, tree_id): the root of each message's tree, from (message_id, parent_id), null for roots. Every message that
+    is not at its root yet jumps to where its ancestor stands, so the distance halves each round; only ids are shuffled."""
+    now = written(links.select("message_id", F.coalesce("parent_id", "message_id").alias("tree_id")), "trees")
+    while True:
+        up = now.select(F.col("message_id").alias("tree_id"), F.col("tree_id").alias("_up"))
+        new = written(now.join(up, "tree_id").select("message_id", F.col("_up").alias("tree_id"), (F.col("tree_id") != F.col("_up")).alias("_moved")), "trees")
+        now = new.drop("_moved")
+        if new.where("_moved").isEmpty():
+            return now
+
+
+def threads(messages: DataFrame, channel: str) -> DataFrame:
+    """(channel, tree_id, position, message_id, parent_id): the conversations that a channel of interleaved messages (channel,
+    message_id, speaker, instant, content) falls apart into, each a tree of links, its messages in order of time."""
+    t = messages.select(channel, "message_id", "speaker", "instant", words(F.coalesce("content", F.lit(""))).alias("_words"), names(F.coalesce("content", F.lit(""))).alias("_names"))
+    t = written(linked(t.where(F.col(channel).isNotNull()), channel), "linked")
+    out = t.join(roots(t), "message_id")
+    group, order = [channel, "tree_id"], ["instant", "message_id"]
+    return numbered(partitioned(out, group, order), group, order, "position").select(channel, "tree_id", "position", "message_id", "parent_id")
 
 
 def conversations_in_order(messages: DataFrame, conversations: DataFrame) -> DataFrame:
-    """(conversation_id, turn, message_id, speaker, parent_id, link_score): the turns of the conversations that are whole:
-    known, readable, with something to see in every content, and user and assistant in turn, from a user's message to an
-    assistant's."""
+    """(conversation_id, turn, message_id, speaker, parent_id, link_score, tree_id): the turns of the conversations that are
+    whole: known, readable, with something to see in every content, and user and assistant in turn, from a user's message
+    to an assistant's."""
     told = {"_words": words(F.coalesce("content", F.lit(""))), "_names": names(F.coalesce("content", F.lit("")))}
-    t = linked(turns(messages, conversations, told).where("not broken"))
+    t = written(linked(turns(messages, conversations, told).where("not broken")), "linked")
+    tree = roots(t)
+    of_root = t.where("parent_id is null").select(F.col("message_id").alias("tree_id"), "conversation_id")  # roots alone tell of a conversation
+    t = t.drop("conversation_id").join(tree.join(of_root, "tree_id"), "message_id")
     wrong = ~F.col("visible") | (F.col("speaker") == F.coalesce("previous_speaker", F.lit("assistant")))
     fit = t.groupBy("conversation_id").agg(F.max(wrong.cast("int")).alias("_wrong"), F.count("*").alias("_n")).where("_wrong = 0 and _n % 2 = 0")
-    return t.join(fit.select("conversation_id"), "conversation_id").select("conversation_id", F.col("turn").cast("int").alias("turn"), "message_id", "speaker", "parent_id", "link_score")
+    return t.join(fit.select("conversation_id"), "conversation_id").select("conversation_id", F.col("turn").cast("int").alias("turn"), "message_id", "speaker", "parent_id", "link_score", "tree_id")

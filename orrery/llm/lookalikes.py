@@ -1,12 +1,15 @@
 """Problem 1: text that reads alike is brought to one consistent form.
 
 Look-alike classes are built by union-find over strings (a ligature and its letters, a letter with a loose accent and the
-composed one) and code points (wide, mathematical, presentation and canonical variants; spaces; letters of other scripts
-that look like Latin ones). Each class is represented by the member met most often in the corpus, among those that may
-represent it; texts are rewritten greedily, longest match first, by an Aho-Corasick automaton over all other members.
-Letters of other scripts are rewritten only in words where they stand in for another script's letters, so words that are
-spelled as their script requires stay as they are. Characters that cannot be seen are removed unless the script needs
-them (joiners after a virama or between Arabic letters).
+composed one) and code points (wide, mathematical, presentation and canonical variants; spaces; signs; and, across scripts,
+letters that look like Latin ones: those that are drawn alike, and those that the public table of confusable characters of the
+Unicode consortium names, which the session's own ICU library holds). Each class within a script is represented by the member
+met most often in the corpus, among those that may represent it; texts are rewritten greedily, longest match first, by an
+Aho-Corasick automaton over all other members. A class across scripts is resolved after that, word by word: a word belongs to
+the script of its letters that look like no other's; where all of its letters are look-alikes, to the script of its neighbours;
+where these don't tell, to the script whose letters the corpus has more of. So words spelled as their script requires
+stay as they are; letters among digits are digits. Characters that cannot be seen are removed unless the script needs them
+(joiners after a virama or between Arabic letters).
 
 Defined results: null stays null, "" stays "", text of any length is taken whole, and the form is idempotent.
 """
@@ -24,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Letters of other scripts, each after the Latin letter that looks the same in common typefaces.
@@ -32,6 +35,11 @@ CROSS_SCRIPT = (
     "AАΑ BВΒ CС EЕΕ HНΗ IІΙ JЈ KКΚ MМΜ NΝ OОΟՕ PРΡ SЅՏ TТΤ XХΧ YҮΥ ZΖ UՍ QԚ WԜ "
     "aаα cсϲ eе gց hһհ iіι jјϳ nո oоοօ pрρ qԛզ sѕ uսυ vνѵ wԝ xх yуү dԁ lӏ kκ"
 ).split()
+# Signs, each after the ordinary one that looks the same, and Latin letters after theirs.
+SIGNS = ":∶ :˸ :꞉ :⁚ -˗ *⁎".split()
+LATIN_FORMS = "aɑ gɡ".split()
+#: Scripts whose letters can stand in for Latin ones.
+SCRIPTS = ("GREEK", "CYRILLIC", "ARMENIAN", "CHEROKEE", "COPTIC", "LISU")
 #: Cf characters with a visible shape of their own.
 _VISIBLE_CF = {*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD}
 #: Blank characters that are not in category Cf.
@@ -47,6 +55,9 @@ def unseen() -> frozenset[str]:
     return frozenset(out)
 
 
+_SIGNS = {x[1]: x[0] for x in SIGNS}
+
+
 def _variant_of(ch: str) -> str | None:
     """The ordinary string of which ``ch`` is another form, by the Unicode character data; None if there is none."""
     cat = unicodedata.category(ch)
@@ -56,6 +67,8 @@ def _variant_of(ch: str) -> str | None:
         return "-"
     if ch == "․":
         return "."
+    if ch in _SIGNS:
+        return _SIGNS[ch]
     parts = unicodedata.decomposition(ch)
     if not parts:
         return None
@@ -106,6 +119,39 @@ def classes() -> tuple[tuple[str, ...], ...]:
     return tuple(tuple(sorted(v)) for v in found.values() if len(v) > 1)
 
 
+@functools.cache
+def _confusable_pairs(skeletons: tuple[str, str]) -> dict[str, str]:
+    letters, plain = (x.split("\n") for x in skeletons)
+    out = {}
+    for c, k in zip(letters, plain):
+        k = "I" if k == "l" and not c.islower() else k
+        if len(k) == 1 and k.isascii() and k.isalpha() and (k.isupper() == c.isupper() or unicodedata.category(c) == "Lo"):
+            out[c] = k
+    return out
+
+
+def confusables(spark: SparkSession) -> dict[str, str]:
+    """Letters of SCRIPTS and the ASCII letters of their case that they can be confused with, by the Unicode table in the ICU
+    library of the session: one call for the letters of all scripts."""
+    letters = [chr(c) for c in range(0x80, 0x1_2000) if chr(c).isalpha() and _script(chr(c)) in SCRIPTS]
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    return _confusable_pairs(("\n".join(letters), checker.getSkeleton("\n".join(letters))))
+
+
+def across_scripts(more: dict[str, str] | None = None) -> dict[str, tuple[str, ...]]:
+    """The look-alike classes across scripts, by the ASCII letter in them: the closure of what is drawn alike and of ``more``."""
+    sets = _Union()
+    for group in CROSS_SCRIPT:
+        for x in group[1:]:
+            sets.join(x, group[0])
+    for x, y in (more or {}).items():
+        sets.join(x, y)
+    found: dict[str, list[str]] = {}
+    for x in list(sets.parent):
+        found.setdefault(sets.find(x), []).append(x)
+    return {min(v): tuple(sorted(v)) for v in found.values()}
+
+
 def representatives(counts: dict[str, int] | None = None) -> dict[str, str]:
     """Each other member of a class to the class's representative: of the members in composed form that are no variant of
     another string, the one met most often (a string counts as its rarest character), then the first by code points."""
@@ -134,8 +180,19 @@ _STRETCH = re.compile("[\x00-\x7f]?[^\x00-\x7f]+")
 class Normaliser:
     """Rewrites text to the consistent form; cheap where a text holds nothing to rewrite."""
 
-    def __init__(self, counts: dict[str, int] | None = None, built: tuple[dict[str, str], frozenset[str]] | None = None) -> None:
-        self.built = rep, hidden = built or (representatives(counts), unseen())
+    def __init__(self, counts: dict[str, int] | None = None, built: tuple | None = None, more: dict[str, str] | None = None) -> None:
+        """``counts`` of code points choose representatives; ``more`` are letters that can be confused with ASCII ones beside
+        those that are drawn alike; they are rewritten in words that hold ASCII letters only."""
+        if built is None:
+            cross = across_scripts(more)
+            often: dict[str, int] = {}
+            for plain, group in cross.items():
+                for c in group:
+                    often[_script(c)] = often.get(_script(c), 0) + (counts or {}).get(c, 0)
+            drawn = {x for group in CROSS_SCRIPT for x in group[1:]}
+            also = {c: plain for plain, group in cross.items() for c in group if c != plain and c not in drawn}
+            built = representatives(counts), unseen(), also, frozenset(k for k, n in often.items() if n > often.get("LATIN", 0))
+        self.built = rep, hidden, self.also, self.usual = built
         self.automaton = ahocorasick.Automaton()
         for member, best in rep.items():
             self.automaton.add_word(member, (len(member), best))
@@ -143,8 +200,8 @@ class Normaliser:
         self.unseen = hidden
         self.latin = {x: group[0] for group in CROSS_SCRIPT for x in group[1:]}
         self.native = {(_script(x), group[0]): x for group in CROSS_SCRIPT for x in group[:0:-1]}
-        self.risky = {c for m in rep for c in m if c > "\x7f"} | self.unseen | {*self.latin, *map(chr, range(0x1100, 0x1200))}
-        self.risky -= {c for m in rep if len(m) > 1 for c in m[:1]} - {m for m in rep if len(m) == 1} - {*self.latin}
+        self.risky = {c for m in rep for c in m if c > "\x7f"} | self.unseen | {*self.latin, *self.also, *"".join(LATIN_FORMS), *map(chr, range(0x1100, 0x1200))} - {x[0] for x in LATIN_FORMS}
+        self.risky -= {c for m in rep if len(m) > 1 for c in m[:1]} - {m for m in rep if len(m) == 1} - {*self.latin, *self.also}
         self.joiner = regex.compile(r"(?<!\p{ccc=9})\u200d|(?<!\p{Arabic}|\p{ccc=9})\u200c|(?<=\p{Arabic})\u200c(?!\p{Arabic})")
 
     def __reduce__(self):
@@ -168,7 +225,9 @@ class Normaliser:
             if new == out:
                 break
             out = new
-        return self._across(out) if any(c in self.latin for c in present) else out
+        if any(c in self.latin or c in self.also for c in present):
+            out = self._across(out)
+        return _FORMS.sub(lambda m: m[0].translate(_TO_LATIN), out) if not present.isdisjoint(_FORM_LETTERS) else out
 
     def _rewrite(self, m: re.Match) -> str:
         text, parts, at = m[0], [], 0
@@ -182,7 +241,7 @@ class Normaliser:
         stand beside words of the script they stand in for."""
         parts, at = [], 0
         for m in _OUTSIDE_ASCII.finditer(text):
-            if m[0] not in self.latin or m.start() < at:
+            if m.start() < at or m[0] not in self.latin and m[0] not in self.also:
                 continue
             lo, hi = m.start(), m.end()
             while lo > at and _in_word(text[lo - 1]):
@@ -196,15 +255,22 @@ class Normaliser:
     def _word(self, s: str, text: str, lo: int, hi: int) -> str:
         strict = {_script(c) for c in s if c not in self.latin and c.isalpha()} - {"LATIN"}
         latin = [c for c in s if c.isalpha() and _script(c) == "LATIN"]
+        weak = {_script(c) for c in s if c in self.latin}
         if not strict:
-            weak = {_script(c) for c in s if c in self.latin}
+            plain = {self.latin.get(c, c) for c in s}
+            if not latin and lo and text[lo - 1].isdigit() and (hi == len(text) or not text[hi].isalpha()) and (plain <= {"O", "o"} or plain <= {"I", "l"}):
+                return ("0" if plain <= {"O", "o"} else "1") * len(s)
             near = {self._side(text, lo, -1), self._side(text, hi, 1)}
             if not (latin or len(weak) > 1 or "LATIN" in near and not weak & near):
                 return s
+            if latin and len(weak) == 1 and weak <= self.usual and "LATIN" not in near and all((*weak, c) in self.native for c in latin):
+                return "".join(self.native.get((*weak, c), c) for c in s)
         elif not latin:
             return s
         elif len(strict) == 1 and all((*strict, c) in self.native for c in latin):
             return "".join(self.native.get((*strict, c), c) for c in s)
+        elif all(c in self.also for c in s if c not in self.latin and c.isalpha() and _script(c) != "LATIN"):
+            return "".join(self.latin.get(c) or self.also.get(c, c) for c in s)
         return "".join(self.latin.get(c, c) for c in s)
 
     def _side(self, text: str, at: int, step: int) -> str:
@@ -219,15 +285,21 @@ class Normaliser:
         return ""
 
 
+_FORM_LETTERS = frozenset(x[1] for x in LATIN_FORMS)
+_TO_LATIN = {ord(x[1]): x[0] for x in LATIN_FORMS}
+#: A word of ASCII letters, two at least, and of Latin letters in other forms.
+_FORMS = regex.compile(rf"(?<![\p{{L}}\p{{M}}])(?=[^\p{{L}}]*(?:[{''.join(_FORM_LETTERS)}]*[A-Za-z]){{2}})[A-Za-z{''.join(_FORM_LETTERS)}]+(?![\p{{L}}\p{{M}}])")
+
+
 def _in_word(c: str) -> bool:
     return c.isalpha() or c > "\x7f" and unicodedata.category(c)[0] == "M"
 
 
-def code_point_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    """How often each member character of a class stands in ``columns``, over all rows. What comes to the driver is at
+def code_point_counts(df: DataFrame, columns: list[str], more: dict[str, str] | None = None) -> dict[str, int]:
+    """How often each member character of a class, within or across scripts, stands in ``columns``, over all rows. What comes to the driver is at
     most one row for each code point of the classes, whatever the size of the table."""
     wanted = np.zeros(sys.maxunicode + 1, bool)
-    wanted[[ord(c) for group in classes() for m in group for c in m]] = True
+    wanted[[ord(c) for group in classes() for m in group for c in m] + [ord(c) for group in across_scripts(more).values() for c in group]] = True
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(sys.maxunicode + 1, np.int64)
@@ -250,7 +322,8 @@ def code_point_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
 
 def normaliser_for(df: DataFrame, columns: list[str]) -> Normaliser:
     """The normaliser whose representatives follow the frequencies in ``columns`` of ``df``."""
-    return Normaliser(code_point_counts(df, columns))
+    more = confusables(df.sparkSession)
+    return Normaliser(code_point_counts(df, columns, more), more=more)
 
 
 def normalise_columns(df: DataFrame, columns: list[str], normaliser: Normaliser | None = None, suffix: str = "") -> DataFrame:

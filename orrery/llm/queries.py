@@ -14,6 +14,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_KEY = r"lower(regexp_replace({}, '^[\s\p{{Z}}{{}}]+|[\s\p{{Z}}{{}}]+$', '', 'g'))"
+_BLANKS = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_ISO = r"^(\d{4})-?(\d\d)-?(\d\d)[Tt _]+(\d\d):?(\d\d)(?::?(\d\d)(?:[.,](\d{1,9}))?)?\s*([Zz]|UTC|GMT|[+-]\d\d(?::?\d\d)?)?$"
+_PART = lambda i: f"regexp_extract(s, '{_ISO}', {i})"
+_ZONE = f"CASE WHEN upper({_PART(8)}) IN ('', 'Z', 'UTC', 'GMT') THEN '+00:00' ELSE substr({_PART(8)}, 1, 3) || ':' || rpad(replace(substr({_PART(8)}, 4, 3), ':', ''), 2, '0') END"
+_INSTANT = f"""CASE WHEN regexp_matches(s, '^\\d{{9,17}}$') THEN CASE WHEN length(s) >= 15 THEN s::BIGINT WHEN length(s) >= 12 THEN s::BIGINT * 1000 ELSE s::BIGINT * 1000000 END
+    WHEN regexp_matches(s, '{_ISO}') THEN epoch_us(try_cast({_PART(1)} || '-' || {_PART(2)} || '-' || {_PART(3)} || ' ' || {_PART(4)} || ':' || {_PART(5)} || ':' || coalesce(nullif({_PART(6)}, ''), '00') || '.' || rpad(substr({_PART(7)}, 1, 6), 6, '0') || {_ZONE} AS TIMESTAMPTZ)) END"""
+_QUOTED = lambda words: ", ".join(f"'{w}'" for w in words)
+ORACLES["p2_found"] = f"""
+  WITH known AS (SELECT key, min(id) AS conversation_id FROM (SELECT id, {_KEY.format('id')} AS key FROM conversations) WHERE key <> '' GROUP BY 1),
+  m AS (SELECT k.conversation_id, x.id, {_INSTANT} AS instant, trimmed, visible, CASE WHEN role IN ({_QUOTED(dialogue.USER_ROLES)}) THEN 'user' WHEN role IN ({_QUOTED(dialogue.ASSISTANT_ROLES)}) THEN 'assistant' END AS speaker
+    FROM (SELECT id, {_KEY.format('conversation_id')} AS key, lower({_BLANKS.format('role')}) AS role, {_BLANKS.format('created_at')} AS s, coalesce({_BLANKS.format('content')}, '') AS trimmed, coalesce(regexp_matches(content, '[^{dialogue.UNSEEN}]'), false) AS visible FROM messages) x JOIN known k ON k.key = x.key),
+  d AS (SELECT conversation_id, speaker, instant, trimmed, min(id) AS message_id, bool_or(visible) AS visible FROM m GROUP BY 1, 2, 3, 4),
+  o AS (SELECT *, row_number() OVER w AS turn, lag(speaker) OVER w AS before FROM d WINDOW w AS (PARTITION BY conversation_id ORDER BY instant, message_id)),
+  kept AS (SELECT conversation_id FROM o GROUP BY 1 HAVING count(*) = count(speaker) AND count(*) = count(instant) AND bool_and(visible AND speaker <> coalesce(before, 'assistant')) AND count(*) % 2 = 0)
+  SELECT conversation_id, turn::INT AS turn, message_id FROM o WHERE conversation_id IN (SELECT conversation_id FROM kept)"""
+
+
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
     return f

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from orrery.llm import boilerplate, dialogue, mixing, neardup, ordering, packing, replies, shingles, subjects, tokens
+from orrery.llm import boilerplate, dialogue, lookalikes, mixing, neardup, ordering, packing, replies, shingles, subjects, tokens
 from orrery.llm.graph import components
 from orrery.llm.lookalikes import Normaliser, classes, dirty_fields, normalise_columns
 from orrery.session import written
@@ -38,6 +38,25 @@ def test_ordinary_text_stays(text):
     assert NORM(text) == text
 
 
+def test_confusable_letters_by_the_public_table(spark):
+    more = lookalikes.confusables(spark)
+    norm = Normaliser(more=more)
+    for dirty, clean in [("Ꭺpple and ꓐanana", "Apple and Banana"), ("ⲟil pⲣice", "oil price"), ("pɑge", "page"), ("12∶30 ˗5", "12:30 -5"), ("in 2О20 and 3О", "in 2020 and 30"), ("гisk", "risk")]:
+        assert norm(dirty) == clean, dirty
+    for same in ("Ꭰ ᎠᎡᎢ ᎣᎤ", "город и гора", "ꓐꓮ ꓗꓡ", "[kɑːt] ɑ", "12 О2", "2 тг"):
+        assert norm(same) == same
+    assert not set(more) & {c for c in map(chr, range(128))} and more["Ꭺ"] == "A"
+
+
+def test_frequency_chooses():
+    mixed = "мaко"  # one Latin letter in a word of look-alikes and one strict letter
+    assert Normaliser()(mixed) == "мако"
+    word = "оcа"  # letters of both scripts, all of them look-alikes
+    assert Normaliser()(word) == "oca"
+    assert Normaliser({"о": 50, "а": 50, "с": 50, "o": 3, "a": 3})(word) == "оса"
+    assert set(across := lookalikes.across_scripts({"ꓐ": "B"})["B"]) >= {"B", "В", "Β", "ꓐ"} and len(across) == len(set(across))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
 def test_form_is_idempotent(text):
@@ -87,6 +106,45 @@ def test_conversations(spark):
     assert dialogue.conversations_in_order(m.where("false"), c).count() == 0
 
 
+def test_interleaved_conversations_of_a_channel_fall_apart(spark):
+    t0 = 1767571200
+    rows, want = [], {}
+    for k, (topic, name) in enumerate([("the freight contract delays", "Borea"), ("the wheat harvest outlook", "Cortex")]):
+        for i in range(4):
+            m = 10 * i + k
+            rows.append(("room", m, "user" if i % 2 == 0 else "assistant", t0 + 600 * i + 5 * k, f"Message about {topic} of {name}"))
+            want[m] = k
+    rows += [("room", 99, "user", t0 + 90_000, "Something else entirely"), ("other", 100, "user", t0, "Message about the freight contract delays of Borea"), (None, 101, "user", t0, "x"), ("room", 102, "assistant", t0 + 90_010, None)]
+    df = spark.createDataFrame(rows, "channel string, message_id long, speaker string, at long, content string").withColumn("instant", F.timestamp_seconds("at"))
+    got = collections.defaultdict(list)
+    for r in dialogue.threads(df, "channel").orderBy("position").collect():
+        got[r.channel, r.tree_id].append(r.message_id)
+    assert got == {("room", 0): [0, 10, 20, 30], ("room", 1): [1, 11, 21, 31], ("room", 99): [99, 102], ("other", 100): [100]}
+
+
+def test_a_parent_can_lie_as_far_back_as_the_score_allows(spark):
+    """Against a search of all messages before: none but the last LOOKBACK ever wins."""
+    rng = random.Random(5)
+    for n in (1, 30):
+        rows = [("c", i, rng.choice(("user", "assistant")), i * rng.choice((0, 1)), " ".join(rng.sample(["Borea", "Cortex", "Delta", "wheat", "freight", "grid", "audit", "label"], 3))) for i in range(n)]
+        df = spark.createDataFrame(rows, "conversation_id string, message_id long, speaker string, at long, content string").withColumn("instant", F.timestamp_seconds("at"))
+        t = dialogue.linked(df.withColumn("_words", dialogue.words(F.col("content"))).withColumn("_names", dialogue.names(F.col("content"))))
+        rows = sorted(rows, key=lambda r: (r[3], r[1]))
+        low, up = (lambda s: set(re.findall(r"[a-z]{4,}", s.lower()))), (lambda s: set(re.findall(r"[A-Z][a-z]{3,}", s)))
+        share = lambda a, b: len(a & b) / max(min(len(a), len(b)), 1)
+        for r in t.collect():
+            at = next(i for i, x in enumerate(rows) if x[1] == r.message_id)
+            score = [(2 * (rows[j][2] != r.speaker) + 2 * share(up(rows[j][4]), up(r.content)) + share(low(rows[j][4]), low(r.content)) - np.log1p((rows[at][3] - rows[j][3]) / 60) / 2 - 0.5 * (at - j - 1), j) for j in range(at)]
+            best = max(score, default=None)
+            assert r.parent_id == (rows[best[1]][1] if best and best[0] >= 0 else None) or abs(best[0]) < 1e-9
+
+
+def test_roots_of_long_chains(spark):
+    links = [(i, i - 1 if i % 100 else None) for i in range(250)]
+    got = {r.message_id: r.tree_id for r in dialogue.roots(spark.createDataFrame(links, "message_id long, parent_id long")).collect()}
+    assert got == {i: i // 100 * 100 for i in range(250)}
+
+
 def test_order_across_partitions(spark):
     rng = random.Random(3)
     rows = [(rng.choice("aaaaaab"), rng.randrange(50), i) for i in range(400)]
