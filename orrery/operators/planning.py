@@ -78,7 +78,7 @@ def _matched_spans(runs: DataFrame, aliases: DataFrame, fuzzy: bool) -> DataFram
     hit = hit.unionByName(s.where(F.length("span") <= SHORT).join(tickers, "span").select("run_id", "i", "end", "ticker", F.lit(1).alias("exact")))
     if fuzzy:
         open_ = s.where((F.length("span") > SHORT) & (F.length("alias") >= FUZZY) & ~F.col("alias").isin(VOCABULARY))
-        near = near_miss(open_, "alias", aliases).select(F.col("word").alias("alias"), "ticker")
+        near = written(near_miss(open_, "alias", aliases).select(F.col("word").alias("alias"), "ticker"), "near")
         hit = hit.unionByName(open_.join(broadcast_if_small(near, BROADCAST_ALIASES), "alias").select("run_id", "i", "end", "ticker", F.lit(0).alias("exact")))
     return hit.groupBy("run_id", "i").agg(F.max(F.struct("exact", "end", "ticker")).alias("m")).select("run_id", "i", "m.end", "m.ticker")
 

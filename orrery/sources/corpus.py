@@ -33,7 +33,7 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     """(file, run VARIANT, config, generated_at): evaluation runs, newest first; files that are no JSON objects, and the
     copies named latest.json and summary.json, are passed over."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
+    raw = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
     run = raw.where(~F.col("file").isin("latest.json", "summary.json")).withColumn("run", F.try_parse_json("value"))
     run = run.withColumn("config", F.try_variant_get("run", "$.config", "string")).withColumn("generated_at", F.try_variant_get("run", "$.generated_at", "string"))
     return run.where("config is not null").drop("value").orderBy(F.desc("generated_at"), "file")
@@ -63,7 +63,7 @@ def read_summary(spark: SparkSession, path: str, run_files: list[str]) -> DataFr
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], "summary variant, verified boolean, stale boolean")
-    v = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v"))
+    v = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
     get = lambda at, kind: F.try_variant_get("v", at, kind)
     files, want = F.coalesce(get("$.run_files", "array<string>"), F.array().cast("array<string>")), F.array(*map(F.lit, run_files)).cast("array<string>")
     stale = (F.size(F.array_except(files, want)) > 0) | (F.size(F.array_except(want, files)) > 0)

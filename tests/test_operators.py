@@ -426,7 +426,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "bytes" / "x.txt").write_bytes(b"ab\xff\xfecd")
     assert corpus.read_filings(spark, str(tmp_path / "bytes")).first().raw == "ab\ufffd\ufffdcd"
     (runs := tmp_path / "runs").mkdir()
-    for n, t in (("1.json", json.dumps({"config": "a", "generated_at": "2025"})), ("2.json", "{broken"), ("latest.json", "{}"), ("3.json", json.dumps({"config": "b", "generated_at": "2026"}))):
+    for n, t in (("1.json", json.dumps({"config": "a", "generated_at": "2025"})), ("2.json", "{broken"), ("latest.json", "{}"), ("3.json", json.dumps({"config": "b", "generated_at": "2026"}, indent=2))):
         (runs / n).write_text(t)
     assert [r.file for r in corpus.read_runs(spark, str(runs)).collect()] == ["3.json", "1.json"]
     (tmp_path / "g.json").write_text(json.dumps({"note": "", "questions": [{"id": "1", "category": "x", "question": "?"}]}))
