@@ -29,8 +29,8 @@ OTHER_SPEAKER, NAMES, WORDS, STEP = 2.0, 2.0, 1.0, 0.5
 #: Messages before one that can be its parent. No other can: the one directly before it scores 0 less its time at least, one
 #: that is n back scores the greatest gain less n - 1 steps and no less time.
 LOOKBACK = int((OTHER_SPEAKER + NAMES + WORDS) / STEP)
-#: Score of its best link from which on a message belongs to the tree of its parent.
-LEAST_LINK = 0.0
+#: Score of its best link from which on a message belongs to the tree of its parent: an answer soon after, or much in common.
+LEAST_LINK = 1.0
 _BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 

@@ -145,7 +145,8 @@ def across_scripts(more: dict[str, str] | None = None) -> dict[str, tuple[str, .
         for x in group[1:]:
             sets.join(x, group[0])
     for x, y in (more or {}).items():
-        sets.join(x, y)
+        if x not in sets.parent:  # what is drawn alike goes first, and no two ASCII letters meet
+            sets.join(x, y)
     found: dict[str, list[str]] = {}
     for x in list(sets.parent):
         found.setdefault(sets.find(x), []).append(x)

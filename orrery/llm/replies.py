@@ -2,10 +2,12 @@
 
 A multi-label linear classifier on hashed n-grams and pair features. It is trained on a sample of at most ``TRAIN_PAIRS``
 pairs of the table itself (the smallest hashes of their ids): their replies as they stand, and copies made defective:
-emptied, truncated, copied from the question, swapped with a reply in another language, refused. Replies that a first model
-flags are left out of the second. Each label's threshold is the one with the best F1 on held-out pairs.
+emptied, truncated, copied from the question, swapped with a reply in another language (of the table, or of letters put in
+the place of others, as in a language that the table lacks), refused. Replies that a first model flags are left out of the
+second. What tells of a language is learned too: a model of letter triples of the replies to each language's questions.
+Each label's threshold is the one with the best F1 on held-out pairs; a pair may pass several.
 
-Defined results: null content is empty; a pair is flagged at most once, with the label furthest over its threshold;
+Defined results: null content is empty; ``defect`` is the label furthest over its threshold, ``labels`` are all that pass;
 replies of any length are read whole; a table without pairs gives no rows and trains nothing.
 """
 
@@ -27,8 +29,14 @@ from orrery.llm.ordering import PART, partitioned, with_border_rows
 LABELS = ("empty", "truncated", "refusal", "echo", "other_language")
 #: Pairs to train on, at most, and places of the hashed n-grams of each kind.
 TRAIN_PAIRS, HASHED = 5000, 1 << 16
-#: Pairs of the first model, and how far under a threshold a reply must lie in it to serve in the second.
+#: Pairs of the first model, a part of the sample, and how far under a threshold a reply must lie in it to serve in the second.
 FIRST_PAIRS, CLEAR = 1200, 2.5
+#: Places of the letter triples of each language, and the weight of a uniform model beside a language's.
+TRIPLES, UNIFORM = 1 << 13, 0.05
+#: Nats a letter from which on a text is unlike a language.
+UNLIKELY = 8.2
+#: Letter triples under which a text is too short to tell its language.
+SHORT = 15
 
 # Frequent words that tell the languages apart.
 FUNCTION_WORDS = {
@@ -83,11 +91,11 @@ _LISTED = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+")
 _REF = re.compile(r"^\s*\[?C\d+\]?\s*[—:–-]")
 _SEEN = re.compile(r"[^\s͏᠎​-‏ - ⁠-⁤﻿­ㅤᅟᅠﾠ⠀\x00-\x1f\x7f-\x9f︀-️]")
 
-DENSE = 34
+DENSE = 37
 #: The dense features that tell of each label; of the hashed n-grams, those of the whole reply tell of refusals, those of its
-#: end of truncation.
+#: end of truncation. Given to the other labels, too, they cost right answers (short whole replies taken for another language).
 TELLING = (
-    (0, 1), (0, *range(14, 32)), (0, *range(2, 9), *range(14, 34)), (0, *range(2, 9), 32, 33), (0, *range(9, 14)),
+    (0, 1), (0, *range(14, 32)), (0, *range(2, 9), *range(14, 34)), (0, *range(2, 9), 32, 33), (0, *range(9, 14), 34, 35, 36),
 )
 
 
@@ -99,7 +107,35 @@ def _language(words: Sequence[str]) -> dict[str, float]:
     return {k: v / max(len(words), 1) for k, v in score.items()}
 
 
-def pair_features(question: str, reply: str) -> tuple[np.ndarray, list[int]]:
+_FOLD = str.maketrans({chr(c): " " for c in range(0x80) if not chr(c).isalpha()})
+
+
+def _triples(text: str) -> np.ndarray:
+    """The places of the letter triples of a text; names and handles are left out."""
+    low = _NAME_LIKE.sub(" ", _HANDLE.sub(" ", text)).lower().translate(_FOLD)
+    points = np.frombuffer(re.sub(r"\s+", " ", f" {low} ").encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    return (points[:-2] * 961 + points[1:-1] * 31 + points[2:]) * 2654435761 % 4294967291 % TRIPLES if len(points) > 2 else np.zeros(0, np.int64)
+
+
+_NAME_LIKE = re.compile(r"(?<=[^\W\d_.!?:] )[A-ZÀ-Þ][\w-]*")
+
+
+class Languages:
+    """Letter-triple models of the replies to the questions in each language, as log probabilities by place."""
+
+    def __init__(self, by: dict[str, list[str]]) -> None:
+        self.log = {}
+        for lang, texts in by.items():
+            n = np.bincount(np.concatenate([_triples(t) for t in texts] or [np.zeros(0, np.int64)]), minlength=TRIPLES)
+            self.log[lang] = np.log((1 - UNIFORM) * n / max(n.sum(), 1) + UNIFORM / TRIPLES).astype(np.float32)
+
+    def entropies(self, text: str) -> dict[str, float]:
+        """The cross-entropy of a text under each language's model, in nats a letter; nothing of a text too short to tell."""
+        t = _triples(text)
+        return {k: -float(v[t].mean()) for k, v in self.log.items()} if len(t) >= SHORT else {}
+
+
+def pair_features(question: str, reply: str, languages: Languages | None = None) -> tuple[np.ndarray, list[int]]:
     """Dense features of a pair, and the places of the hashed n-grams of the reply's end."""
     x = np.zeros(DENSE, np.float32)
     x[0] = 1
@@ -125,6 +161,9 @@ def pair_features(question: str, reply: str) -> tuple[np.ndarray, list[int]]:
         other = min(other, 0.0)
     x[9], x[10], x[11] = min(other * 5, 2), other > 0.04, other > 0.12
     x[12] = max(ql.values()) > 0
+    if languages is not None and (h := languages.entropies(text)):
+        own = min(h.get(k, 12.0) for k in allowed)
+        x[34], x[35], x[36] = (own - UNLIKELY) / 2, own - min(h.values()), own > UNLIKELY
     x[13] = len(rw) < 5
     bare = _END_HANDLES.sub("", text)
     handled = len(bare) < len(text)
@@ -160,10 +199,10 @@ def _plain(reply: str) -> bytes:
     return re.sub(r"\d", "0", _HANDLE.sub(" ", reply)).lower().encode("utf-8", "replace").translate(None, b"\x00")
 
 
-def features(questions: Sequence[str], replies: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(questions: Sequence[str], replies: Sequence[str], languages: Languages | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(dense, row, place): dense features of the pairs, and the hashed n-grams of each: one and two words of the whole
     reply in the first HASHED places, the ends of replies in the next."""
-    pairs = [pair_features(q, r) for q, r in zip(questions, replies)]
+    pairs = [pair_features(q, r, languages) for q, r in zip(questions, replies)]
     dense = np.stack([x for x, _ in pairs]) if pairs else np.zeros((0, DENSE), np.float32)
     cleaned = [_plain(r) for r in replies]
     rows, places = [], []
@@ -177,8 +216,8 @@ def features(questions: Sequence[str], replies: Sequence[str]) -> tuple[np.ndarr
 
 
 class Model:
-    def __init__(self, dense: np.ndarray, hashed: np.ndarray, thresholds: np.ndarray) -> None:
-        self.dense, self.hashed, self.thresholds = dense, hashed, thresholds
+    def __init__(self, dense: np.ndarray, hashed: np.ndarray, thresholds: np.ndarray, languages: Languages | None = None) -> None:
+        self.dense, self.hashed, self.thresholds, self.languages = dense, hashed, thresholds, languages
 
     def scores(self, dense: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
         out = dense @ self.dense
@@ -186,13 +225,21 @@ class Model:
             out[:, j] += np.bincount(row, self.hashed[place, j], minlength=len(dense))
         return out
 
+    def margins(self, questions: Sequence[str], replies: Sequence[str]) -> np.ndarray:
+        """How far each pair lies over each label's threshold."""
+        return self.scores(*features(questions, replies, self.languages)) - self.thresholds
+
     def flags(self, questions: Sequence[str], replies: Sequence[str]) -> list[str | None]:
         if not len(replies):
             return []
-        over = self.scores(*features(questions, replies)) - self.thresholds
+        over = self.margins(questions, replies)
         best = over.argmax(axis=1)
         return [LABELS[j] if over[i, j] > 0 else None for i, j in enumerate(best)]
 
+    def labels(self, questions: Sequence[str], replies: Sequence[str]) -> list[list[str]]:
+        """All labels that a pair passes."""
+        return [[LABELS[j] for j in np.flatnonzero(x > 0)] for x in self.margins(questions, replies)] if len(replies) else []
+
 
 def fit(dense: np.ndarray, row: np.ndarray, place: np.ndarray, y: np.ndarray, steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
     """Weights of logistic regressions, one a label, by full-batch Adam with a ridge on the hashed n-grams."""
@@ -239,10 +286,23 @@ def _cut(reply: str, rng: random.Random) -> str | None:
     return None
 
 
+def _foreign(reply: str, rng: random.Random) -> str:
+    """The reply in letters of no language at hand: vowels and consonants are exchanged among themselves, or stand in another
+    script; handles stay."""
+    vowels, others = list("aeiou"), list("bcdfghjklmnpqrstvwxyz")
+    if rng.random() < 0.3:
+        to = dict(zip(vowels + others, (chr(c) for c in rng.sample(range(*rng.choice(((0x3B1, 0x3CA), (0x430, 0x450), (0x5D0, 0x5EB))), 1), 24)), strict=False))
+    else:
+        a, b = rng.sample(vowels, 5), rng.sample(others, 21)
+        to = dict(zip(vowels + others, a + b))
+    parts = re.split(r"(\[C\d+\])", reply)
+    return "".join(p if i % 2 else "".join(to.get(c, to.get(c.lower(), c).upper() if c.lower() in to else c) for c in p) for i, p in enumerate(parts))
+
+
 def synthetic(pairs: Sequence[tuple[str, str]], seed: int = 0) -> tuple[list[str], list[str], np.ndarray]:
     """(questions, replies, labels as indices, -1 for none): the pairs as they are and made defective, and hard whole ones:
     list items without a stop, questions repeated and then answered, refusals with a part of an answer."""
-    rng, out = random.Random(seed), []
+    rng, unknown, out = random.Random(seed), random.Random(seed + 7919), []
     by: dict[str, list[str]] = {}
     for q, r in pairs:
         lang = _language(_WORD.findall(r.lower()))
@@ -285,6 +345,8 @@ def synthetic(pairs: Sequence[tuple[str, str]], seed: int = 0) -> tuple[list[str
         others = [k for k in by if k != lang and k not in {_ASKED.get(w) for w in _WORD.findall(q.lower())}]
         if others and rng.random() < 0.5:
             out.append((q, rng.choice(by[rng.choice(sorted(others))]), 4))
+        if unknown.random() < 0.2:
+            out.append((q, _foreign(r, unknown), 4))
         if rng.random() < 0.1:
             asked = rng.choice(sorted(by))
             name = LANGUAGE_NAMES[asked].split()[0].capitalize()
@@ -294,13 +356,18 @@ def synthetic(pairs: Sequence[tuple[str, str]], seed: int = 0) -> tuple[list[str
 
 def _fit_once(pairs: Sequence[tuple[str, str]], seed: int) -> Model:
     q, r, label = synthetic(pairs, seed)
+    by: dict[str, list[str]] = {}
+    for question, reply in pairs:
+        told = _language(_WORD.findall(question.lower()))
+        by.setdefault(max(told, key=told.get), []).append(reply)
+    languages = Languages(by)
     y = (label[:, None] == np.arange(len(LABELS))).astype(np.float64)
     held = np.random.default_rng(seed).random(len(q)) < 0.2
-    dense, row, place = features(q, r)
+    dense, row, place = features(q, r, languages)
     keep = np.cumsum(~held) - 1
     mine = ~held[row]
     w, v = fit(dense[~held], keep[row[mine]], place[mine], y[~held])
-    model = Model(w, v, np.zeros(len(LABELS)))
+    model = Model(w, v, np.zeros(len(LABELS)), languages)
     s = model.scores(dense, row, place)
     for j in range(len(LABELS)):  # the middle of the widest stretch of thresholds with the best F1
         order = np.argsort(-s[held, j])
@@ -323,7 +390,7 @@ def train(pairs: Sequence[tuple[str, str]], seed: int = 1) -> Model:
     if not base:
         return Model(np.zeros((DENSE, len(LABELS))), np.zeros((2 * HASHED, len(LABELS))), np.full(len(LABELS), np.inf))
     first = _fit_once(base[:FIRST_PAIRS], seed)
-    over = (first.scores(*features([q for q, _ in base], [r for _, r in base])) - first.thresholds).max(axis=1)
+    over = first.margins([q for q, _ in base], [r for _, r in base]).max(axis=1)
     return _fit_once([p for p, f in zip(base, over) if f < -CLEAR] or base, seed + 1)
 
 

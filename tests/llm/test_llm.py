@@ -41,7 +41,7 @@ def test_ordinary_text_stays(text):
 def test_confusable_letters_by_the_public_table(spark):
     more = lookalikes.confusables(spark)
     norm = Normaliser(more=more)
-    for dirty, clean in [("Ꭺpple and ꓐanana", "Apple and Banana"), ("ⲟil pⲣice", "oil price"), ("pɑge", "page"), ("12∶30 ˗5", "12:30 -5"), ("in 2О20 and 3О", "in 2020 and 30"), ("гisk", "risk")]:
+    for dirty, clean in [("Ꭺpple and ꓐanana", "Apple and Banana"), ("ⲟil ⲣrice", "oil price"), ("pɑge", "page"), ("12∶30 ˗5", "12:30 -5"), ("in 2О20 and 3О", "in 2020 and 30"), ("гisk", "risk")]:
         assert norm(dirty) == clean, dirty
     for same in ("Ꭰ ᎠᎡᎢ ᎣᎤ", "город и гора", "ꓐꓮ ꓗꓡ", "[kɑːt] ɑ", "12 О2", "2 тг"):
         assert norm(same) == same
@@ -112,9 +112,9 @@ def test_interleaved_conversations_of_a_channel_fall_apart(spark):
     for k, (topic, name) in enumerate([("the freight contract delays", "Borea"), ("the wheat harvest outlook", "Cortex")]):
         for i in range(4):
             m = 10 * i + k
-            rows.append(("room", m, "user" if i % 2 == 0 else "assistant", t0 + 600 * i + 5 * k, f"Message about {topic} of {name}"))
+            rows.append(("room", m, "user" if i % 2 == 0 else "assistant", t0 + 600 * i + 5 * k, f"about {topic} of {name}"))
             want[m] = k
-    rows += [("room", 99, "user", t0 + 90_000, "Something else entirely"), ("other", 100, "user", t0, "Message about the freight contract delays of Borea"), (None, 101, "user", t0, "x"), ("room", 102, "assistant", t0 + 90_010, None)]
+    rows += [("room", 99, "user", t0 + 90_000, "Something else entirely"), ("other", 100, "user", t0, "about the freight contract delays of Borea"), (None, 101, "user", t0, "x"), ("room", 102, "assistant", t0 + 90_010, None)]
     df = spark.createDataFrame(rows, "channel string, message_id long, speaker string, at long, content string").withColumn("instant", F.timestamp_seconds("at"))
     got = collections.defaultdict(list)
     for r in dialogue.threads(df, "channel").orderBy("position").collect():
@@ -136,7 +136,7 @@ def test_a_parent_can_lie_as_far_back_as_the_score_allows(spark):
             at = next(i for i, x in enumerate(rows) if x[1] == r.message_id)
             score = [(2 * (rows[j][2] != r.speaker) + 2 * share(up(rows[j][4]), up(r.content)) + share(low(rows[j][4]), low(r.content)) - np.log1p((rows[at][3] - rows[j][3]) / 60) / 2 - 0.5 * (at - j - 1), j) for j in range(at)]
             best = max(score, default=None)
-            assert r.parent_id == (rows[best[1]][1] if best and best[0] >= 0 else None) or abs(best[0]) < 1e-9
+            assert r.parent_id == (rows[best[1]][1] if best and best[0] >= dialogue.LEAST_LINK else None) or abs(best[0] - dialogue.LEAST_LINK) < 1e-9
 
 
 def test_roots_of_long_chains(spark):
@@ -189,6 +189,17 @@ def test_defects_held_out():
     assert model.flags([], []) == [] and replies.train([]).flags(["q"], ["r"]) == [None]
 
 
+def test_replies_in_languages_that_the_table_lacks():
+    model = replies.train(replies_like(500))
+    q = "What did Borea say about the freight contract in 2019?"
+    foreign = [
+        "La società ha dichiarato che il contratto di trasporto ha ridotto i costi e che la consegna è rimasta stabile [C1].", "Компания сообщила, что договор перевозки сократил издержки, сроки поставки стабильны.", "会社は運送契約について、費用が減少し納期も安定したと述べています。",
+        "De onderneming verklaarde dat het vrachtcontract de kosten verlaagde en dat de levering stabiel bleef.", "A empresa afirmou que o contrato de frete reduziu os custos e que as entregas permaneceram estáveis.", "Spółka podała, że umowa przewozu obniżyła koszty, a terminy dostaw pozostały stabilne.",
+    ]
+    assert [model.flags([q], [r])[0] for r in foreign].count("other_language") >= 5
+    assert model.labels([q], ["The freight contract cut lead times in fiscal 2019, and the tax audit was settled early."]) == [[]] and model.labels([], []) == []
+
+
 def test_pairs(spark):
     t = lambda s: f"2026-01-05T00:00:{s:02d}Z"
     m = talk(spark, [(1, "a", "user", t(1), "q"), (2, "a", "ai", t(2), None), (3, "a", "ai", t(3), "again"), (4, "b", "user", t(1), " "), (5, "b", "ai", t(2), "r"), (6, "a", "user", t(4), "q2"), (7, "a", "ai", t(5), "x" * 100_000)])
