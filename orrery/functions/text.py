@@ -60,6 +60,7 @@ def figures(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?%?"), F.lit(0)))
 
 
+# Runs of capitalised words and possessive endings.
 _CAPITALISED = r"[A-Z][a-zA-Z0-9&.\-]*"
 RUN = rf"\b({_CAPITALISED}(?:\s+(?:of|and|the|de|&)\s+{_CAPITALISED}|\s+{_CAPITALISED})*)\b"
 POSSESSIVE = r"['’]s\b"

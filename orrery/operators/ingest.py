@@ -42,16 +42,18 @@ BETWEEN = r"[.:\-–—]?[\s\xa0|]*"
 CONTENTS_ROW = re.compile(r"[^\n]*\|[\s\xa0]*\d+[\s\xa0]*")
 # Words that end with a full stop within a sentence.
 ABBREVIATIONS = frozenset("inc corp ltd co no nos mr mrs ms dr jr sr st vs etc al ph fig e.g i.e approx dept div univ sec art".split())
-# Captions of scale, figures whose scale matters, labels of periods, residue of tags.
+# Captions of scale, figures whose scale matters, labels of periods, residue of tags, joins of sentences and of
+# headings to what follows them.
 SCALE_CAPTION = r"(?:\(|\b)(?:\$\s*)?(?:in|dollars\s+in|amounts\s+in)\s+(?:millions|thousands|billions)\b"
 SCALED_FIGURE = r"\|\s*\$?\s*\(?(?:\d{1,3}(?:,\d{3})+|\$\s*[\d.]+|\d+\.\d\d)\b"
 PERIOD_LABEL = r"\b(?:19|20)\d\d\b|\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\b|\b(?:Three|Six|Nine|Twelve)\s+Months\b|\bQ[1-4]\b|\bYears?\s+Ended\b"
 TAG = r"(us-gaap:|http://fasb\.org|http://xbrl\.|iso4217:|srt:)\S*"
 TAG_LINE = r"(?m)^[a-z0-9\-]{4,}(false|true)?\d{4}(FY|Q\d)?\d{6,}.*$"
+SENTENCE_JOIN = r"(?<=[.!?\"])(?=[A-Z\"])"
+HEADING_JOIN = r"[a-z]{3}(?=[A-Z][a-z]+\s)"
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
-_BREAK = re.compile(r"(?<=[.!?\"])(?=[A-Z\"])")
-_HEADING = re.compile(r"[a-z]{3}(?=[A-Z][a-z]+\s)")
+_BREAK, _HEADING = re.compile(SENTENCE_JOIN), re.compile(HEADING_JOIN)
 _SCALE, _FIGURE, _PERIOD = (re.compile(p, re.I) for p in (SCALE_CAPTION, SCALED_FIGURE, PERIOD_LABEL))
 
 

@@ -598,7 +598,7 @@ def header_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _raw_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_file, raw): filings put together from their headers and passages as the files they were."""
     c = _chunks(spark, sf_dir, "text", "item_section", "chunk_index", "source_file")
-    part = F.struct("chunk_index", F.concat(F.col("item_section"), F.lit("\n\n"), F.col("text")).alias("t"))
+    part = F.struct("chunk_index", F.concat(F.replace("item_section", F.lit(" — "), F.lit(". ")), F.lit("\n\n"), F.col("text")).alias("t"))  # headings as filings write them
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n\n")  # one file is one row
     line = lambda k, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(k + ": "), F.col(c), F.lit("\n"))).otherwise("")
     keys = (("Company", "company"), ("Ticker", "ticker"), ("Filing Type", "filing_type"), ("Filing Date", "filing_date"), ("CIK", "cik"), ("URL", "url"), ("Report Period", "report_period"))

@@ -391,7 +391,7 @@ def test_captions(spark):
 
 
 def test_chunking(spark):
-    body = "Item 1 — Business\n" + "We make things. " * 60 + "\nItem 1A — Risk Factors\n" + "Things may break. " * 60
+    body = "Item 1. Business\n" + "We make things. " * 60 + "\nItem 1A: Risk Factors\n" + "Things may break. " * 60
     f = spark.createDataFrame([("f.txt", body, "A", "AB", "1", "10-K", 2020, "2020-12-31", "2021-02-01"), ("g.txt", None, "A", "AB", "1", "10-K", 2020, "", "2021-02-01")], "source_file string, body string, company string, ticker string, cik string, form_type string, fiscal_year int, period_end string, filing_date string")
     got = ingest.chunk_filings(f).collect()
     assert [r.chunk_id for r in got] == ["AB-10K-FY2020-2021-02-01-item1-0000", "AB-10K-FY2020-2021-02-01-item1a-0001"]

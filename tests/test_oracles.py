@@ -68,16 +68,18 @@ def test_evidence_fills_its_rows_past_one_file(spark, one_large_file):
 
 
 def test_names_are_looked_for_in_every_user_message(spark, tmp_path):
-    spark.createDataFrame([(100, "Growth at Tesla", "user"), (101, "Profit of teslla", " User "), (102, "Debt of Tesla", "human"), (103, "Tesla Motors", "assistant"), (104, None, "user")], "id long, content string, role string").write.parquet(str(tmp_path / "messages.parquet"))
-    spark.createDataFrame([("TSLA", "Tesla, Inc.", "f1")], "ticker string, company string, source_file string").write.parquet(str(tmp_path / "filings.parquet"))
+    rows = [(100, "Growth at Vantor", "user"), (101, "Profit of Vantr", " User "), (102, "Debt of Vantor", "human"), (103, "Vantor Motors", "assistant"), (104, None, "user")]
+    spark.createDataFrame(rows, "id long, content string, role string").write.parquet(str(tmp_path / "messages.parquet"))
+    spark.createDataFrame([("VNTR", "Vantor, Inc.", "f1")], "ticker string, company string, source_file string").write.parquet(str(tmp_path / "filings.parquet"))
+    spark.createDataFrame([(2024,)], "fiscal_year int").write.parquet(str(tmp_path / "chunks.parquet"))
     run = lambda name: sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect()))
-    assert run("capitalised_runs_all") == [(100, "Growth"), (100, "Tesla"), (101, "Profit"), (102, "Debt of Tesla")]
-    assert run("named_companies_all") == [(100, "TSLA", 1), (102, "TSLA", 1)]
-    assert run("near_miss_alias") == [("tesla", "tesla", "TSLA"), ("teslla", "tesla", "TSLA")]
+    assert run("capitalised_runs") == [(100, "Growth"), (100, "Vantor"), (101, "Profit of Vantr"), (102, "Debt of Vantor")]
+    assert run("named_companies") == [(100, "VNTR", 1), (102, "VNTR", 1)]
+    assert [r[1] for r in run("plan_with_near_misses")] == ["VNTR", "VNTR", "VNTR"] and [r[2] for r in run("plan")] == ["Growth", "Profit;Vantr", "Debt"]
 
 
 def test_last_years_end_with_the_corpus(spark, tmp_path):
     spark.createDataFrame([(1, "sales since 2019"), (2, "the last three years"), (3, "in 2018, not the past two years, since 2020"), (4, "no year")], "id long, content string").write.parquet(str(tmp_path / "messages.parquet"))
     spark.createDataFrame([("a", 2022, "2024-01-01"), ("b", 2027, "2024-01-01")], "chunk_id string, fiscal_year int, ingested_at string").write.parquet(str(tmp_path / "chunks.parquet"))
-    got = sorted(map(tuple, registry.QUERIES["year_window_all"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, registry.QUERIES["year_window_parse"](spark, str(tmp_path)).collect()))
     assert got == [(1, 2019, 2027), (2, 2025, 2027), (3, 2020, 2027)]
