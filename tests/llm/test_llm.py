@@ -558,3 +558,16 @@ def test_queries_run(spark):
 
     for name in ("p1_found", "p1_consistent", "p2_turns", "p3_replies", "p4_cleaned", "p4_blocks", "p5_groups", "p6_fill", "p7_shares", "p8_composition"):
         assert written(QUERIES[name](spark, str(DATA / "sf0.001")), "test").columns, name
+
+
+@needs_data
+def test_conversations_equal_sql(spark):
+    import duckdb
+
+    from orrery.llm.queries import ORACLES, QUERIES
+
+    con, folder = duckdb.connect(), DATA / "sf0.01"
+    for t in ("messages", "conversations"):
+        con.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    want = {(r.conversation_id, r.turn, r.message_id) for r in con.sql(ORACLES["p2_found"]).df().itertuples()}
+    assert {tuple(r) for r in QUERIES["p2_found"](spark, str(folder)).collect()} == want and len(want) > 1000
