@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions import text as T
 from orrery.operators import answer, coverage, evaluation, history, ingest, planning, search, summary
 from orrery.plans.registry import query
-from orrery.session import table, written
+from orrery.session import spread, table, written
 
 _CHUNKS = "(SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC) = 1)"
 _QUESTIONS = "(SELECT id AS question, content AS text FROM messages WHERE id % 100 = 0 AND content IS NOT NULL AND lower(trim(role, ' ')) IN ('user', 'human', 'customer'))"
@@ -20,7 +20,7 @@ _NAME = r"trim(regexp_replace(regexp_replace(lower({0}), '[\s,]*\b(?:" + "|".joi
 def _chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Every passage once, as delivered last; where texts are read, without shuffling them."""
     if "text" in columns:
-        return history.once(table(spark, sf_dir, "chunks", ["chunk_id", *columns, "ingested_at"]), "chunk_id", "ingested_at").drop("ingested_at")
+        return history.once(spread(table(spark, sf_dir, "chunks", ["chunk_id", *columns, "ingested_at"])), "chunk_id", "ingested_at").drop("ingested_at")
     return history.latest(table(spark, sf_dir, "chunks", ["chunk_id", *columns, "ingested_at"]), "chunk_id", "ingested_at").drop("ingested_at")
 
 

@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str] |
     return df.select(*columns) if columns is not None else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer partitions than there are (a small table); otherwise as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``. Where it is unset, a local session gets a temporary folder of its
     own and any other session is refused, because its executors would not share such a folder."""
