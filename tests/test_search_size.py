@@ -38,6 +38,7 @@ def shuffled(spark, f) -> int:
 
 SEARCHES = [
     "bm25_topk",
+    "coverage_by_company",
 ]
 
 
