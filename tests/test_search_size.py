@@ -39,6 +39,7 @@ def shuffled(spark, f) -> int:
 SEARCHES = [
     "bm25_topk",
     "coverage_by_company",
+    "entity_coverage_at_k",
 ]
 
 
