@@ -40,6 +40,7 @@ SEARCHES = [
     "bm25_topk",
     "coverage_by_company",
     "entity_coverage_at_k",
+    "list_citations",
 ]
 
 
