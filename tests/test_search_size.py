@@ -41,6 +41,7 @@ SEARCHES = [
     "coverage_by_company",
     "entity_coverage_at_k",
     "list_citations",
+    "suspect_scores",
 ]
 
 
