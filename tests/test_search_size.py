@@ -42,6 +42,7 @@ SEARCHES = [
     "entity_coverage_at_k",
     "list_citations",
     "suspect_scores",
+    "bm25_idf_topk",
 ]
 
 
