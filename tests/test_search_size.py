@@ -43,6 +43,7 @@ SEARCHES = [
     "list_citations",
     "suspect_scores",
     "bm25_idf_topk",
+    "companies_present",
 ]
 
 
