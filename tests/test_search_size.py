@@ -44,6 +44,7 @@ SEARCHES = [
     "suspect_scores",
     "bm25_idf_topk",
     "companies_present",
+    "coverage_sentence",
 ]
 
 
