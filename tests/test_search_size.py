@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.operators import search
 from orrery.plans import queries as _queries  # noqa: F401
@@ -45,6 +46,7 @@ SEARCHES = [
     "bm25_idf_topk",
     "companies_present",
     "coverage_sentence",
+    "evaluation_run",
 ]
 
 
@@ -75,3 +77,13 @@ def test_words_are_counted_by_row(spark):
 
     lists = pa.array([["a", "b", "a"], None, [], ["c", "b"]])
     assert [x.tolist() for x in search._occurrences(lists, pa.array(["a", "b"]))] == [[0, 0, 3], [0, 1, 1], [2, 1, 1], [3, 3, 2]]
+
+
+def test_means_of_a_run_are_rounded_once(spark):
+    """A recall of 1/6 and one of 0: 0.0833, not 0.0834 by way of 0.1667."""
+    from orrery.operators import evaluation
+
+    gold = spark.createDataFrame([("a", "x", ["T"], [f"f{i}" for i in range(6)], []), ("b", "x", ["T"], ["g"], [])], "id string, category string, tickers array<string>, source_files array<string>, expect_fiscal_years array<int>")
+    got = spark.createDataFrame([("a", "f0", "T", 1), ("b", "h", "T", 1)], "question string, file string, ticker string, rank int")
+    run = evaluation.run(gold, got, "own", F.lit("2031-01-01T00:00:00")).first()
+    assert run.overall.recall_10 == 0.0833 and sorted(r.recall_10 for r in run.per_question) == [0.0, 0.1667]
