@@ -47,6 +47,7 @@ SEARCHES = [
     "companies_present",
     "coverage_sentence",
     "evaluation_run",
+    "near_dup_suppress",
 ]
 
 
