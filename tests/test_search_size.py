@@ -48,6 +48,7 @@ SEARCHES = [
     "coverage_sentence",
     "evaluation_run",
     "near_dup_suppress",
+    "rerank_order",
 ]
 
 
