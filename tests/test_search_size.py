@@ -49,6 +49,7 @@ SEARCHES = [
     "evaluation_run",
     "near_dup_suppress",
     "rerank_order",
+    "context_prompts",
 ]
 
 
