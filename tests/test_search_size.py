@@ -50,6 +50,7 @@ SEARCHES = [
     "near_dup_suppress",
     "rerank_order",
     "context_prompts",
+    "coverage_absent",
 ]
 
 
