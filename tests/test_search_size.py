@@ -51,6 +51,7 @@ SEARCHES = [
     "rerank_order",
     "context_prompts",
     "coverage_absent",
+    "coverage_thin",
 ]
 
 
