@@ -52,6 +52,7 @@ SEARCHES = [
     "context_prompts",
     "coverage_absent",
     "coverage_thin",
+    "evidence_cut",
 ]
 
 
