@@ -53,6 +53,7 @@ SEARCHES = [
     "coverage_absent",
     "coverage_thin",
     "evidence_cut",
+    "file_diverse_cut",
 ]
 
 
