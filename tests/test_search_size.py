@@ -54,6 +54,7 @@ SEARCHES = [
     "coverage_thin",
     "evidence_cut",
     "file_diverse_cut",
+    "metrics_grouping_sets",
 ]
 
 
