@@ -55,6 +55,7 @@ SEARCHES = [
     "evidence_cut",
     "file_diverse_cut",
     "metrics_grouping_sets",
+    "retrieval_metrics",
 ]
 
 
