@@ -40,6 +40,7 @@ def shuffled(spark, f) -> int:
 SEARCHES = [
     "bm25_topk",
     "coverage_by_company",
+    "rrf_fusion",
     "entity_coverage_at_k",
     "list_citations",
     "suspect_scores",
