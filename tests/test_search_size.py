@@ -41,6 +41,7 @@ SEARCHES = [
     "bm25_topk",
     "coverage_by_company",
     "rrf_fusion",
+    "rrf_lexical",
     "entity_coverage_at_k",
     "list_citations",
     "suspect_scores",
