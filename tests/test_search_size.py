@@ -83,6 +83,26 @@ def test_best_documents_equal_all_scored(spark, monkeypatch, k, idf):
     assert search.bm25(d, "id", "text", q.where("q > 91"), "q", "text", k, idf).collect() == []
 
 
+def test_nearest_score_a_bounded_table():
+    """4,096 queries against a batch of 10,000 rows: no table of all pairs (328 MB) in a task, and the same rows."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, k = np.random.default_rng(7), 3
+    v, m = rng.integers(0, 3, (10_000, 4)).astype(float), search._unit(rng.integers(0, 3, (4096, 4)) + 1)
+    b = pa.RecordBatch.from_arrays([pa.array([f"k{i:05}" for i in range(10_000)]), pa.array(v.tolist())], names=["key", "vector"])
+    tracemalloc.start()
+    out = next(search._nearest(iter([b]), m, list(range(4096)), None, k, (pa.int64(), pa.string()), ("question",)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6
+    got = list(zip(*(c.to_pylist() for c in out.columns)))
+    for q in range(0, 4096, 512):
+        s = np.round(m[q] @ search._unit(v).T, 6)
+        assert [r[1:] for r in got if r[0] == q] == [(f"k{i:05}", s[i]) for i in np.lexsort((np.arange(10_000), -s))[:k]]
+
+
 def test_words_are_counted_by_row(spark):
     import pyarrow as pa
 
