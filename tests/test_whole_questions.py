@@ -32,6 +32,10 @@ def test_entity_coverage_of_every_question(run):
     assert run("entity_coverage_at_k") == [(q, 1.0) for q in (7, 100, 101)]
 
 
+def test_citations_of_every_question(run):
+    assert [(r[0], r[1], r[-1]) for r in run("list_citations")] == [(q, "C1", "lithium prices") for q in (7, 100, 101)]
+
+
 def test_many_sets_of_words_are_searched_exactly():
     """Against sums of all weights, with ties, floors that rise, sets within sets, one of many words, and small blocks."""
     rng = np.random.default_rng(11)
